@@ -619,28 +619,30 @@ def dq_freshness(s: StandIns) -> DataFrame:
 
 @_query
 def full_run(s: StandIns) -> DataFrame:
-    """Two days of payloads of all vendors; a board fails on the second day, which runs twice."""
+    """Three runs over payloads of all vendors: a board fails in the second, and the third
+    replaces the second's snapshot of the same day."""
     warehouse = Warehouse(s.spark, shared_folder(s.spark))
     docs = s.table("documents")
-    days = {"d1": (dt.date(2025, 3, 1), docs.filter("doc_id % 5 <> 0")), "d2": (dt.date(2025, 3, 2), docs.filter("doc_id % 7 <> 0"))}
-    for run_id in ("d1", "d2", "d2"):
-        day, mine = days[run_id]
-        raw = _vendor_payloads(mine).withColumn("run_id", F.lit(run_id))
-        boards = docs.select(F.lit(run_id).alias("run_id"), _vendor(), "lang").distinct().select(
-            "run_id", "source", F.when(F.col("source") == "arbeitnow", "arbeitnow").otherwise(F.col("lang")).alias("board_token")
-        ).distinct()
+    runs = [("d1", 1, "doc_id % 5 <> 0"), ("d2", 2, "doc_id % 7 <> 0"), ("d3", 2, "doc_id % 7 <> 0 and doc_id % 2 <> 0")]
+    own_token = F.when(F.col("source") == "arbeitnow", "arbeitnow").otherwise(F.col("lang"))
+    boards = docs.select(_vendor(), "lang").select("source", own_token.alias("board_token")).distinct()
+    for run_id, day, listed in runs:
         failed = F.lit(run_id == "d2") & (F.col("source") == "lever") & (F.col("board_token") == "fr")
-        status = boards.select("*", (~failed).alias("ok"), F.when(failed, F.lit("lever/fr: 503")).alias("error"))
-        now = dt.datetime.combine(day, dt.time(6), dt.UTC)
+        status = boards.select(
+            F.lit(run_id).alias("run_id"), "*", (~failed).alias("ok"), F.when(failed, F.lit("lever/fr: 503")).alias("error")
+        )
+        raw = _vendor_payloads(docs.filter(listed)).withColumn("run_id", F.lit(run_id))
+        now = dt.datetime(2025, 3, day, 6, tzinfo=dt.UTC)
         run.refresh(warehouse, raw, status, s.words, DOCUMENT_ROLES, run_id, now)
-    demand = warehouse.read("skill_demand").groupBy(F.concat(F.lit("d"), F.dayofmonth("snapshot_date")).alias("run_id")).agg(
+    demand = warehouse.read("skill_demand").groupBy(F.dayofmonth("snapshot_date").alias("day")).agg(
         F.count(F.lit(1)).alias("demand_rows"), F.sum("job_count").alias("demand_total")
     )
     audit = warehouse.read("ingestion_runs").select(
-        "run_id", "status", "boards_attempted", "boards_succeeded", "raw_fetched", "jobs_upserted", "jobs_deactivated", "errors"
+        "run_id", "status", "boards_attempted", "boards_succeeded", "raw_fetched", "jobs_upserted", "jobs_deactivated",
+        "errors", F.dayofmonth("started_at").alias("day"),
     )
     jobs = warehouse.read("jobs").agg(F.count(F.lit(1)).alias("jobs"), F.count_if("is_active").alias("active"))
-    return audit.join(demand, "run_id", "left").select(
+    return audit.join(demand, "day", "left").drop("day").select(
         "*", jobs.select("jobs").scalar().alias("jobs"), jobs.select("active").scalar().alias("active")
     )
 
