@@ -26,6 +26,7 @@ def local_session(cpus: int | str = "*", app: str = "demandweave") -> SparkSessi
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -50,9 +51,13 @@ def stage(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side is left to a shuffle join.
+def settle_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Evaluate ``df`` once if it has at most ``max_rows`` rows, and mark it for broadcast.
 
-    ``df`` must be cheap to read (a table, or something staged): it is counted here.
+    Its size is checked by running it up to the limit. A larger one is returned as it is, and
+    the joins it takes part in shuffle.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
