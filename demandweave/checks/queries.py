@@ -15,7 +15,7 @@ from demandweave.functions import dates, json, text
 from demandweave.operators import matcher, reconcile, roles
 from demandweave.plans import gold, quality, read_model, run, skill_gap
 from demandweave.plans.read_model import JobFilters
-from demandweave.session import shared_folder, use_utc
+from demandweave.session import shared_folder, spread, use_utc
 from demandweave.sources import catalogs, payloads
 from demandweave.sources.warehouse import SERVING, Warehouse
 
@@ -90,31 +90,31 @@ def src_roles(s: StandIns) -> DataFrame:
 
 @_query
 def norm_greenhouse(s: StandIns) -> DataFrame:
-    raw = payload_texts.greenhouse(s.table("documents"))
+    raw = payload_texts.greenhouse(s.documents)
     return _digest(payloads.greenhouse(raw).drop("raw_json"), "description")
 
 
 @_query
 def norm_lever(s: StandIns) -> DataFrame:
-    raw = payload_texts.lever(s.table("documents"))
+    raw = payload_texts.lever(s.documents)
     return _digest(payloads.lever(raw).drop("raw_json"), "description")
 
 
 @_query
 def norm_ashby(s: StandIns) -> DataFrame:
-    raw = payload_texts.ashby(s.table("documents"))
+    raw = payload_texts.ashby(s.documents)
     return _digest(payloads.ashby(raw).drop("raw_json"), "description")
 
 
 @_query
 def norm_arbeitnow(s: StandIns) -> DataFrame:
-    raw = payload_texts.arbeitnow(s.table("documents"))
+    raw = payload_texts.arbeitnow(s.documents)
     return _digest(payloads.arbeitnow(raw, max_pages=5).drop("raw_json"), "description")
 
 
 @_query
 def norm_paged_feed(s: StandIns) -> DataFrame:
-    raw = payload_texts.arbeitnow(s.table("documents"))
+    raw = payload_texts.arbeitnow(s.documents)
     return payloads.feed_pages(raw, max_pages=2).select("seq", "source", "board_token", "page_no")
 
 
@@ -124,7 +124,7 @@ def norm_paged_feed(s: StandIns) -> DataFrame:
 @_query
 def bronze_roundtrip(s: StandIns) -> DataFrame:
     warehouse = Warehouse(s.spark, shared_folder(s.spark))
-    postings = payloads.lever(payload_texts.lever(s.table("documents")))
+    postings = payloads.lever(payload_texts.lever(s.documents))
     warehouse.land_bronze(postings, "first", AS_OF)
     warehouse.land_bronze(postings.filter("false"), "empty", AS_OF)
     return warehouse.read("bronze").select(
@@ -160,9 +160,8 @@ def links_replace_for(s: StandIns) -> DataFrame:
 @_query
 def demand_replace_snapshot(s: StandIns) -> DataFrame:
     warehouse = Warehouse(s.spark, shared_folder(s.spark))
-    for table in ("skill_demand", "skill_trends"):
-        s.demand.drop(*(["category"] if table == "skill_trends" else [])).write.partitionBy(
-            "snapshot_date").parquet(f"{warehouse.root}/{table}")
+    warehouse.load_history("skill_demand", s.demand)
+    warehouse.load_history("skill_trends", gold.skill_trends(s.demand))
     again = s.demand.filter("snapshot_date = date'2024-01-05' and job_count > 1")
     warehouse.replace_snapshot(dt.date(2024, 1, 6), again)
     warehouse.replace_snapshot(dt.date(2024, 1, 7), again.filter("false"))
@@ -176,10 +175,9 @@ def serving_export(s: StandIns) -> DataFrame:
     warehouse = Warehouse(s.spark, f"{folder}/full")
     warehouse.replace("jobs", s.jobs)
     warehouse.replace("job_skills", s.job_skills)
-    for table in ("skill_demand", "skill_trends"):
-        s.demand.drop(*(["category"] if table == "skill_trends" else [])).write.partitionBy(
-            "snapshot_date").parquet(f"{warehouse.root}/{table}")
-    s.runs.write.partitionBy("run_id").parquet(f"{warehouse.root}/ingestion_runs")
+    demand = warehouse.load_history("skill_demand", s.demand)
+    warehouse.load_history("skill_trends", gold.skill_trends(demand))
+    warehouse.load_history("ingestion_runs", s.runs)
     slim = warehouse.export_serving(f"{folder}/slim")
     counts = None
     for table in SERVING:
@@ -202,8 +200,9 @@ def run_audit(s: StandIns) -> DataFrame:
         F.lit("r").alias("run_id"), "source", "board_token", (F.col("source") != "ashby").alias("ok"),
         F.when(F.col("source") == "ashby", F.concat(F.lit("ashby/"), "board_token", F.lit(": timeout"))).alias("error"),
     )
-    actions = reconcile.reconcile(s.existing, s.fetched, boards.filter("ok"), AS_OF, 1_000)
-    return run.audit_row(boards, s.fetched, actions, "r", "manual", AS_OF, AS_OF)
+    fetched = s.stored(s.fetched)
+    actions = reconcile.reconcile(s.stored(s.existing), fetched, boards.filter("ok"), AS_OF, 1_000)
+    return run.audit_row(boards, fetched, s.stored(actions), "r", "manual", AS_OF, AS_OF)
 
 
 # --- column expressions -----------------------------------------------------------------
@@ -211,19 +210,19 @@ def run_audit(s: StandIns) -> DataFrame:
 
 @_query
 def strip_html_pages(s: StandIns) -> DataFrame:
-    return s.table("pages").select("page_id", text.strip_html(F.col("html")).alias("plain_text"))
+    return spread(s.table("pages"), "page_id").select("page_id", text.strip_html(F.col("html")).alias("plain_text"))
 
 
 @_query
 def normalize_key(s: StandIns) -> DataFrame:
-    return s.table("documents").select("doc_id", F.md5(text.normalize_for_key(F.col("text"))).alias("key_md5"))
+    return s.documents.select("doc_id", F.md5(text.normalize_for_key(F.col("text"))).alias("key_md5"))
 
 
 @_query
 def dedup_hash(s: StandIns) -> DataFrame:
     place = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit(" ("), "source", F.lit(") ")))
     h = text.dedup_hash(F.upper("lang"), F.col("text"), place)
-    return s.table("documents").select("doc_id", h.alias("dedup_hash"))
+    return s.documents.select("doc_id", h.alias("dedup_hash"))
 
 
 @_query
@@ -369,12 +368,13 @@ def run_dedup(s: StandIns) -> DataFrame:
 
 @_query
 def reconcile_decisions(s: StandIns) -> DataFrame:
-    first = reconcile.with_hash(reconcile.run_dedup(s.fetched))
-    return reconcile.decide(first, s.existing, 100).select("source", "source_job_id", "seq", "decision")
+    first = reconcile.with_hash(reconcile.run_dedup(s.stored(s.fetched)))
+    return reconcile.decide(first, s.stored(s.existing), 100).select("source", "source_job_id", "seq", "decision")
 
 
 def _reconciled(s: StandIns) -> DataFrame:
-    return reconcile.reconcile(s.existing, s.fetched, s.succeeded_boards, AS_OF, 1_000)
+    existing, fetched = s.stored(s.existing), s.stored(s.fetched)
+    return reconcile.reconcile(existing, fetched, s.succeeded_boards, AS_OF, 1_000)
 
 
 @_query
@@ -492,7 +492,7 @@ def demand_latest(s: StandIns) -> DataFrame:
 
 
 def _part_demand(s: StandIns) -> DataFrame:
-    return gold.skill_demand(s.jobs, s.job_skills, PART_ROLES, DAY)
+    return s.stored(gold.skill_demand(s.jobs, s.job_skills, PART_ROLES, DAY))
 
 
 @_query
@@ -622,7 +622,7 @@ def full_run(s: StandIns) -> DataFrame:
     """Three runs over payloads of all vendors: a board fails in the second, and the third
     replaces the second's snapshot of the same day."""
     warehouse = Warehouse(s.spark, shared_folder(s.spark))
-    docs = s.table("documents")
+    docs = s.documents
     runs = [("d1", 1, "doc_id % 5 <> 0"), ("d2", 2, "doc_id % 7 <> 0"), ("d3", 2, "doc_id % 7 <> 0 and doc_id % 2 <> 0")]
     own_token = F.when(F.col("source") == "arbeitnow", "arbeitnow").otherwise(F.col("lang"))
     boards = docs.select(_vendor(), "lang").select("source", own_token.alias("board_token")).distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from demandweave.fixed_values import SOURCES
 from demandweave.functions.text import dedup_hash, normalize_for_key
 from demandweave.operators.matcher import SkillMatcher, Term
+from demandweave.session import shared_folder, spread, stage
 
 AS_OF = dt.datetime(2025, 3, 1, 12, 0, 0, tzinfo=dt.UTC)
 DAY = dt.date(2025, 3, 1)
@@ -55,6 +56,15 @@ class StandIns:
             self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._tables[name]
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """The texts, one row group of which may hold them all."""
+        return spread(self.table("documents"), "doc_id")
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        """As a stored table, like the Silver and Gold tables that the queries read in use."""
+        return stage(df, shared_folder(self.spark))
+
     # --- postings and links ---------------------------------------------------------
 
     @cached_property
@@ -155,7 +165,7 @@ class StandIns:
 
     @cached_property
     def texts(self) -> DataFrame:
-        return self.table("documents").select(
+        return self.documents.select(
             F.col("doc_id").cast("string").alias("job_id"), F.substring("text", 1, 60).alias("title"),
             F.col("text").alias("description"),
         )
@@ -173,7 +183,7 @@ class StandIns:
     def _documents_as_jobs(self, title_chars: int) -> DataFrame:
         title = F.substring(normalize_for_key(F.col("text")), 1, title_chars)
         number = F.substring("source", 4, 3).cast("int")
-        return self.table("documents").select(
+        return self.documents.select(
             F.col("doc_id").alias("seq"), _source(number).alias("source"),
             F.col("doc_id").cast("string").alias("source_job_id"),
             F.col("lang").alias("board_token"), F.col("lang").alias("company"), title.alias("title"),

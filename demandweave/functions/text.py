@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 
 from demandweave.fixed_values import SURROGATE_NULL
 
-# Unicode white space; Java's \s alone is ASCII.
-_SPACE_SET = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACES = f"[{_SPACE_SET}]+"
-NOT_SPACE = f"[^{_SPACE_SET}]"
-OUTER_SPACES = f"^[{_SPACE_SET}]+|[{_SPACE_SET}]+$"
+# White space of Unicode, and the four ASCII separators that Python strips as well.
+_SPACE_SET = r"\s\x1c-\x1f"
+SPACES = f"(?U)[{_SPACE_SET}]+"
+NOT_SPACE = f"(?U)[^{_SPACE_SET}]"
+OUTER_SPACES = f"(?U)^[{_SPACE_SET}]+|[{_SPACE_SET}]+$"
 
 # A character reference as HTML5 reads it: decimal, hexadecimal or named (up to 32 characters).
 CHARACTER_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"

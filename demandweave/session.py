@@ -51,6 +51,16 @@ def stage(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Hand the rows of a scan with too few splits to all cores, for work heavy on the CPU.
+
+    A table of many files has more splits than there are cores and is left alone. Only for
+    scans: counting the partitions of a shuffled frame would run it.
+    """
+    slots, splits = scan.sparkSession.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()
+    return scan if splits >= slots else scan.repartition(min(slots, 8 * splits), key)
+
+
 def settle_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Evaluate ``df`` once if it has at most ``max_rows`` rows, and mark it for broadcast.
 
