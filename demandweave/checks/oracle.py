@@ -511,7 +511,7 @@ _ORACLE: dict[str, str] = {
         USING (conv_id, turn) GROUP BY c.conv_id, c.turn""",
     "run_dedup": "SELECT source, source_job_id, seq, title FROM arrivals",
     "reconcile_decisions": "SELECT source, source_job_id, seq, decision FROM decided",
-    "reconcile_jobs": f"SELECT * EXCLUDE (action) {_JOB_TIMES} FROM reconciled WHERE action <> 'skip'",
+    "reconcile": f"SELECT * EXCLUDE (action) {_JOB_TIMES} FROM reconciled WHERE action <> 'skip'",
     "reconcile_deactivate": """
         SELECT job_id, is_active, cast(last_seen_at AS varchar) AS last_seen_at FROM reconciled WHERE action = 'deactivate'""",
     "reconcile_counts": "SELECT action, count(*) AS jobs FROM reconciled GROUP BY action",
@@ -619,7 +619,7 @@ _ORACLE: dict[str, str] = {
               LIMIT 25 OFFSET 25)""",
     "resolve_skill": """
         SELECT DISTINCT skill FROM job_skills WHERE contains(lower(skill), 'nation_1') ORDER BY skill LIMIT 15""",
-    "skill_gap_users": "SELECT * FROM gap",
+    "skill_gap": "SELECT * FROM gap",
     "skill_gap_coverage": """
         SELECT user_id, role, role_total, count(*) FILTER (have) AS have, count(*) FILTER (NOT have) AS missing,
                coalesce(sum(job_count) FILTER (have), 0) / sum(job_count) AS coverage

@@ -24,7 +24,8 @@ _QUERIES: dict[str, Callable[[StandIns], DataFrame]] = {}
 
 
 def _query(build: Callable[[StandIns], DataFrame]) -> Callable[[StandIns], DataFrame]:
-    _QUERIES[build.__name__] = build
+    """Register a query under its name (a closing _ keeps a name apart from a module's)."""
+    _QUERIES[build.__name__.rstrip("_")] = build
     return build
 
 
@@ -378,7 +379,7 @@ def _reconciled(s: StandIns) -> DataFrame:
 
 
 @_query
-def reconcile_jobs(s: StandIns) -> DataFrame:
+def reconcile_(s: StandIns) -> DataFrame:
     return reconcile.jobs_of(_reconciled(s))
 
 
@@ -563,7 +564,7 @@ def _gap(s: StandIns) -> DataFrame:
 
 
 @_query
-def skill_gap_users(s: StandIns) -> DataFrame:
+def skill_gap_(s: StandIns) -> DataFrame:
     return _gap(s)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from demandweave.fixed_values import DEFAULT_GUARDS
+from demandweave.functions.text import OUTER_SPACES
 
 TOKEN = "[A-Za-z0-9+#]"
 MAX_TERMS = 20_000  # the pattern and the term map are part of the plan
@@ -43,7 +44,7 @@ def term_table(dictionary: DataFrame, *scope: str) -> DataFrame:
         *scope, "skill_id", F.col("name").alias("skill"), "category",
         F.posexplode(forms).alias("place", "form"),
     )
-    rows = rows.withColumn("term", F.lower(F.trim("form"))).filter(F.col("term") != "")
+    rows = rows.withColumn("term", F.lower(F.regexp_replace("form", OUTER_SPACES, ""))).filter(F.col("term") != "")
     first = Window.partitionBy(*scope, "term").orderBy("skill_id", "place")
     return (
         rows.withColumn("rank", F.row_number().over(first)).filter("rank = 1")

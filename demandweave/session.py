@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -32,6 +33,12 @@ def local_session(cpus: int | str = "*", app: str = "demandweave") -> SparkSessi
     )
 
 
+@functools.cache
+def _local_folder() -> tempfile.TemporaryDirectory:
+    """One temporary folder per process, removed when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="demandweave-", ignore_cleanup_errors=True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 
@@ -41,7 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="demandweave-")
+        root = _local_folder().name
     return f"{root.rstrip('/')}/demandweave-{uuid.uuid4().hex}"
 
 
