@@ -67,7 +67,7 @@ def decide(arrivals: DataFrame, existing: DataFrame, arrivals_per_task: int = AR
     rows = arrivals.select(*KEY, "seq", "dedup_hash").join(known, KEY, "left")
     rows = rows.select(
         *KEY, "seq", "dedup_hash", F.coalesce("known", F.lit(False)).alias("known"),
-        F.floor(F.col("seq") / F.lit(arrivals_per_task)).alias("chunk"),
+        F.expr(f"seq div {int(arrivals_per_task)}L").alias("chunk"),
     )
     summary = rows.groupBy("dedup_hash", "chunk").agg(
         F.max(F.when(F.col("known"), F.struct("seq", "source"))).getField("source").alias("last_known"),
@@ -154,9 +154,9 @@ def jobs_of(reconciled: DataFrame) -> DataFrame:
     return reconciled.filter("action <> 'skip'").drop("action")
 
 
-def touched_ids(reconciled: DataFrame) -> DataFrame:
-    """Ids inserted or refreshed in this run."""
-    return reconciled.filter("action in ('insert', 'update')").select("job_id")
+def touched(reconciled: DataFrame) -> DataFrame:
+    """The jobs inserted or refreshed in this run."""
+    return reconciled.filter(F.col("action").isin("insert", "update"))
 
 
 def action_counts(reconciled: DataFrame) -> DataFrame:
