@@ -570,7 +570,8 @@ _ORACLE: dict[str, str] = {
         ORDER BY job_count DESC, skill, category NULLS LAST LIMIT 10""",
     "top_skills_share": """
         SELECT role, t.role_total, skill, category, job_count,
-               CASE WHEN t.role_total > 0 THEN round_even(100.0::double * job_count / t.role_total, 1) ELSE 0.0 END AS share_pct
+               CASE WHEN t.role_total > 0 THEN cast(printf('%.1f', 100.0::double * job_count / t.role_total) AS double)
+                    ELSE 0.0 END AS share_pct
         FROM part_demand JOIN role_totals t USING (role) WHERE role = 'Fastener'
         ORDER BY job_count DESC, skill, category NULLS LAST LIMIT 15""",
     "trends_topn": """

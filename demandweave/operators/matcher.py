@@ -18,7 +18,7 @@ from demandweave.fixed_values import DEFAULT_GUARDS
 from demandweave.functions.text import OUTER_SPACES
 
 TOKEN = "[A-Za-z0-9+#]"
-MAX_TERMS = 20_000  # the pattern and the term map are part of the plan
+MAX_TERMS = 5_000  # the pattern and the term map are part of the plan
 
 Guard = tuple[str, str | None, str | None]
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PATTERNS = 5_000
+MAX_PATTERNS = 500  # more become a join instead of one expression
 
 RolePatterns = Sequence[tuple[str, str]]
 

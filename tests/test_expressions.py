@@ -8,7 +8,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from demandweave.functions import dates, json, text
+from demandweave.functions import dates, json, numbers, text
 
 
 def column(spark, values, expr, kind="string"):
@@ -108,3 +108,11 @@ def test_typed_json(spark):
     assert column(spark, docs, lambda c: json.get_bool(parse(c), "$.a")) == [False] * 5 + [True] + [False] * 11
     assert column(spark, docs, lambda c: json.get_int(parse(c), "$.a"))[:4] == [None, 12345, None, None]
     assert column(spark, docs, lambda c: json.get_str(json.get_child(parse(c), "$.a"), "$.b"))[11] == "in"
+
+
+def test_percent_rounds_like_python(spark):
+    pairs = [(c, t) for t in (0, 1, 3, 7, 8, 16, 40, 80, 160, 200, 400, 1000, 2000, 999, 12345) for c in range(0, 2001, 7)]
+    df = spark.createDataFrame([(i, c, t) for i, (c, t) in enumerate(pairs)], "n int, c int, t long")
+    got = [r.x for r in sorted(df.select("n", numbers.percent(F.col("c"), F.col("t")).alias("x")).collect())]
+    want = [round(100 * c / t, 1) if t else 0.0 for c, t in pairs]
+    assert [x for x in zip(pairs, got, want) if x[1] != x[2]] == []
