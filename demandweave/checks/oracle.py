@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from demandweave.checks.standins import DOCUMENT_ROLES, PART_ROLES, WORD_GUARDS, WORDS
+from demandweave.plans import quality
 
 _SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -661,5 +662,44 @@ _ORACLE: dict[str, str] = {
 }
 
 
+# --- declared checks ----------------------------------------------------------------------
+
+for _model in ("stg_jobs", "stg_job_skills", "dim_date", "dim_company", "dim_skill", "fact_job_posting", "fact_job_skill"):
+    CTES[f"m_{_model}"] = _ORACLE[_model]
+CTES["m_seed_roles"] = "SELECT role, pattern FROM roles"
+CTES["m_dim_role"] = "SELECT DISTINCT md5(role) AS role_key, role FROM roles"
+CTES["m_skill_demand"] = """
+    SELECT role, skill, category, count(DISTINCT job_id) AS job_count, '2025-03-01' AS snapshot_date
+    FROM posting_roles JOIN stg_skills USING (job_id) GROUP BY role, skill, category"""
+CTES["m_skill_trends"] = "SELECT role, skill, job_count, snapshot_date FROM m_skill_demand"
+
+
+def _checks() -> str:
+    def row(model: str, check: str, column: str, count: str) -> str:
+        return f"SELECT '{model}' AS model, '{check}' AS \"check\", '{column}' AS \"column\", ({count}) AS failures"
+
+    rows = []
+    for model, columns in quality.NOT_NULL.items():
+        rows += [row(model, "not_null", c, f"SELECT count(*) FROM m_{model} WHERE {c} IS NULL") for c in columns]
+    for model, columns in quality.UNIQUE.items():
+        for c in columns:
+            repeated = f"SELECT {c} FROM m_{model} WHERE {c} IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
+            rows.append(row(model, "unique", c, f"SELECT count(*) FROM ({repeated})"))
+    for model, columns in quality.UNIQUE_COMBINATION.items():
+        keys = ", ".join(columns)
+        repeated = f"SELECT {keys} FROM m_{model} GROUP BY {keys} HAVING count(*) > 1"
+        rows.append(row(model, "unique_combination", keys, f"SELECT count(*) FROM ({repeated})"))
+    for model, (c, values) in quality.ACCEPTED.items():
+        accepted = ", ".join(f"'{v}'" for v in values)
+        rows.append(row(model, "accepted_values", c, f"SELECT count(DISTINCT {c}) FROM m_{model} WHERE {c} NOT IN ({accepted})"))
+    for child, c, parent, field in quality.RELATIONSHIPS:
+        orphans = f"SELECT count(*) FROM m_{child} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {field} FROM m_{parent})"
+        rows.append(row(child, "relationships", c, orphans))
+    return "\nUNION ALL ".join(rows)
+
+
+_ORACLE["dq_models"] = _checks()
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: sql if name == "full_run" else _with(sql) for name, sql in _ORACLE.items()}

@@ -615,6 +615,22 @@ def dq_freshness(s: StandIns) -> DataFrame:
     return quality.freshness(s.jobs, "last_seen_at", dt.datetime(2024, 5, 25, tzinfo=dt.UTC))
 
 
+@_query
+def dq_models(s: StandIns) -> DataFrame:
+    """The declared checks over stored models, built from the links with repeats and NULLs."""
+    skills = s.stored(gold.stg_job_skills(s.raw_links))
+    facts = s.stored(gold.fact_job_posting(s.jobs))
+    seed = s.spark.createDataFrame(PART_ROLES, "role string, pattern string")
+    demand = s.stored(gold.skill_demand(s.jobs, skills, PART_ROLES, DAY))
+    return quality.check_models({
+        "stg_jobs": s.stored(gold.stg_jobs(s.jobs)), "stg_job_skills": skills,
+        "dim_date": s.stored(gold.dim_date(s.jobs, AS_OF)), "dim_company": s.stored(gold.dim_company(s.jobs)),
+        "dim_skill": s.stored(gold.dim_skill(s.jobs, skills)), "dim_role": gold.dim_role(seed),
+        "fact_job_posting": facts, "fact_job_skill": s.stored(gold.fact_job_skill(facts, skills)),
+        "skill_demand": demand, "skill_trends": gold.skill_trends(demand), "seed_roles": seed,
+    })
+
+
 # --- the full run -----------------------------------------------------------------------
 
 

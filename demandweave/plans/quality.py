@@ -3,12 +3,58 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandweave.fixed_values import FRESHNESS_ERROR_DAYS, FRESHNESS_WARN_DAYS
+from demandweave.fixed_values import (
+    CATEGORIES, FRESHNESS_ERROR_DAYS, FRESHNESS_WARN_DAYS, ROLE_PATTERNS, SOURCES,
+)
+
+# The checks declared for the models of the star schema.
+NOT_NULL = {
+    "stg_jobs": ["job_id", "source", "dedup_hash", "is_active"],
+    "stg_job_skills": ["job_id", "skill"],
+    "dim_date": ["date_key"],
+    "dim_company": ["company_key", "company"],
+    "dim_skill": ["skill_key", "skill", "category"],
+    "dim_role": ["role_key", "role"],
+    "fact_job_posting": ["job_id", "dedup_hash", "company_key", "first_seen_date_key"],
+    "fact_job_skill": ["job_skill_key", "job_id", "skill_key", "category"],
+    "skill_demand": ["role", "skill", "category", "job_count", "snapshot_date"],
+    "skill_trends": ["role", "skill", "job_count", "snapshot_date"],
+    "seed_roles": ["role", "pattern"],
+}
+UNIQUE = {
+    "stg_jobs": ["job_id"],
+    "dim_date": ["date_key"],
+    "dim_company": ["company_key", "company"],
+    "dim_skill": ["skill_key", "skill"],
+    "dim_role": ["role_key", "role"],
+    "fact_job_posting": ["job_id", "dedup_hash"],
+    "fact_job_skill": ["job_skill_key"],
+    "seed_roles": ["pattern"],
+}
+UNIQUE_COMBINATION = {
+    "stg_job_skills": ["job_id", "skill"],
+    "skill_demand": ["role", "skill", "category", "snapshot_date"],
+    "skill_trends": ["role", "skill", "snapshot_date"],
+}
+ACCEPTED = {
+    "stg_jobs": ("source", SOURCES),
+    "dim_skill": ("category", CATEGORIES),
+    "dim_role": ("role", sorted({role for role, _ in ROLE_PATTERNS})),
+}
+RELATIONSHIPS = [
+    ("fact_job_posting", "company_key", "dim_company", "company_key"),
+    ("fact_job_posting", "first_seen_date_key", "dim_date", "date_key"),
+    ("fact_job_posting", "posted_date_key", "dim_date", "date_key"),
+    ("fact_job_skill", "job_id", "fact_job_posting", "job_id"),
+    ("fact_job_skill", "skill_key", "dim_skill", "skill_key"),
+    ("skill_demand", "role", "dim_role", "role"),
+]
 
 
 def _rows(one: DataFrame, check: str, columns: Sequence[str]) -> DataFrame:
@@ -74,3 +120,24 @@ def freshness(
     return df.agg(F.max(column).alias("last_loaded_at")).select(
         "last_loaded_at", age.alias("age_seconds"), status.alias("status")
     )
+
+
+def check_models(models: dict[str, DataFrame]) -> DataFrame:
+    """All declared checks of the models that are given: (model, check, column, failures).
+
+    The models should be stored tables: each check reads the columns it needs again.
+    """
+    results: list[tuple[str, DataFrame]] = []
+    for name, df in models.items():
+        if name in NOT_NULL:
+            results.append((name, not_null(df, NOT_NULL[name])))
+        results += [(name, unique(df, column)) for column in UNIQUE.get(name, [])]
+        if name in UNIQUE_COMBINATION:
+            results.append((name, unique_combination(df, UNIQUE_COMBINATION[name])))
+        if name in ACCEPTED:
+            results.append((name, accepted_values(df, *ACCEPTED[name])))
+    for child, column, parent, field in RELATIONSHIPS:
+        if child in models and parent in models:
+            results.append((child, relationships(models[child], column, models[parent], field)))
+    rows = [df.select(F.lit(name).alias("model"), "check", "column", "failures") for name, df in results]
+    return functools.reduce(DataFrame.unionByName, rows)
