@@ -40,7 +40,7 @@ def _values(rows: list[tuple]) -> str:
 _DOCUMENT_JOBS = """
     SELECT doc_id AS seq, {source} AS source, cast(doc_id AS varchar) AS source_job_id, lang AS board_token,
            lang AS company, substr({norm}, 1, {chars}) AS title, cast(NULL AS varchar) AS location,
-           doc_id % 2 = 0 AS is_remote, 'text ' || n_chars AS description, {at} AS posted_at
+           doc_id % 2 = 0 AS is_remote, 'text ' || n_chars AS description, {at} AS posted_at, n_chars
     FROM documents"""
 
 
@@ -111,12 +111,12 @@ CTES = {
     SELECT 'j' || seq AS job_id, source, source_job_id, board_token, company, title, location, is_remote,
            description, '' AS apply_url, posted_at, {_hash('company', 'title', 'location')} AS dedup_hash,
            {_at('0')} AS first_seen_at, {_at('86400')} AS last_seen_at, seq % 11 <> 0 AS is_active
-    FROM ({_document_jobs(3)}) WHERE seq % 3 <> 0""",
+    FROM ({_document_jobs(3)}) WHERE n_chars >= 900""",
     "fetched": f"""
-    SELECT * FROM ({_document_jobs(4)}) WHERE seq % 5 <> 0
+    SELECT * EXCLUDE (n_chars) FROM ({_document_jobs(4)}) WHERE n_chars <= 4000
     UNION ALL
-    SELECT * REPLACE (seq + 1000000000 AS seq, 'again' AS title) FROM ({_document_jobs(4)})
-    WHERE seq % 5 <> 0 AND seq % 7 = 0""",
+    SELECT * EXCLUDE (n_chars) REPLACE (seq + 1000000000 AS seq, 'again' AS title) FROM ({_document_jobs(4)})
+    WHERE n_chars <= 4000 AND board_token = 'es'""",
     "arrivals": f"""
     SELECT *, {_hash('company', 'title', 'location')} AS dedup_hash FROM (
         SELECT *, row_number() OVER (PARTITION BY source, source_job_id ORDER BY seq) AS rn FROM fetched) WHERE rn = 1""",
@@ -313,14 +313,14 @@ _KEY_NULL = "_dbt_utils_surrogate_key_null_"
 
 def _full_run() -> str:
     docs = f"""
-    SELECT doc_id AS seq, {_source('doc_id')} AS source, cast(doc_id AS varchar) AS id,
+    SELECT doc_id AS seq, source AS origin, {_source('doc_id')} AS source, cast(doc_id AS varchar) AS id,
            CASE WHEN doc_id % 4 = 3 THEN 'arbeitnow' ELSE lang END AS board, substr(text, 1, 6) AS title,
            {_hash('lang', 'substr(text, 1, 6)', "''")} AS hash,
            sha256({_source('doc_id')} || '|' || doc_id) AS job_id, substr(text, 1, 6) || chr(10) || text AS blob
     FROM documents"""
     first = """
     SELECT * FROM (SELECT *, first_value(source) OVER (PARTITION BY hash ORDER BY seq) AS own
-                   FROM docs WHERE seq % 5 <> 0) WHERE own = source"""
+                   FROM docs WHERE origin NOT IN ('src1', 'src2', 'src3')) WHERE own = source"""
     second = """
     SELECT * FROM (
         SELECT d.*, k.job_id IS NOT NULL AS known, coalesce(
@@ -329,15 +329,15 @@ def _full_run() -> str:
             o.osrc, first_value(d.source) OVER (PARTITION BY d.hash ORDER BY d.seq)) AS own
         FROM docs d LEFT JOIN first_run k ON k.job_id = d.job_id
         LEFT JOIN (SELECT hash, arg_min(source, job_id) AS osrc FROM first_run GROUP BY hash) o ON o.hash = d.hash
-        WHERE d.seq % 7 <> 0) WHERE known OR own = source"""
+        WHERE d.origin <> 'src5') WHERE known OR own = source"""
     gone = """
-    SELECT * FROM first_run WHERE seq % 7 = 0 AND NOT (source = 'lever' AND board = 'fr')"""
-    # Third run, same day as the second: only documents not divisible by 7 or 2.
+    SELECT * FROM first_run WHERE origin = 'src5' AND NOT (source = 'lever' AND board = 'fr')"""
+    # Third run, same day as the second: two more origins list nothing.
     second_active = """
-    SELECT job_id, seq, source, id, board, title, hash, blob FROM second_run
+    SELECT job_id, seq, origin, source, id, board, title, hash, blob FROM second_run
     UNION ALL
-    SELECT job_id, seq, source, id, board, title, hash, blob FROM first_run
-    WHERE seq % 7 = 0 AND source = 'lever' AND board = 'fr'"""
+    SELECT job_id, seq, origin, source, id, board, title, hash, blob FROM first_run
+    WHERE origin = 'src5' AND source = 'lever' AND board = 'fr'"""
     third = """
     SELECT * FROM (
         SELECT d.*, k.job_id IS NOT NULL OR g.job_id IS NOT NULL AS known, coalesce(
@@ -346,9 +346,9 @@ def _full_run() -> str:
             o.osrc, first_value(d.source) OVER (PARTITION BY d.hash ORDER BY d.seq)) AS own
         FROM docs d LEFT JOIN second_active k ON k.job_id = d.job_id LEFT JOIN gone g ON g.job_id = d.job_id
         LEFT JOIN (SELECT hash, arg_min(source, job_id) AS osrc FROM second_active GROUP BY hash) o ON o.hash = d.hash
-        WHERE d.seq % 7 <> 0 AND d.seq % 2 <> 0) WHERE known OR own = source"""
+        WHERE d.origin NOT IN ('src5', 'src9', 'src14')) WHERE known OR own = source"""
     third_gone = """
-    SELECT * FROM second_active WHERE (seq % 7 = 0 OR seq % 2 = 0)"""
+    SELECT * FROM second_active WHERE origin IN ('src5', 'src9', 'src14')"""
     third_active = """
     SELECT job_id, title, hash, blob FROM third_run"""
     roles = _values(DOCUMENT_ROLES)
@@ -380,12 +380,12 @@ def _full_run() -> str:
     WITH docs AS ({docs}), first_run AS ({first}), second_run AS ({second}), gone AS ({gone}),
     second_active AS ({second_active}), third_run AS ({third}), third_gone AS ({third_gone}),
     third_active AS ({third_active}), day1 AS ({demand('first_run')}), day2 AS ({demand('third_active')})
-    {row('d1', "'succeeded'", 0, 'seq % 5 <> 0', 'first_run', '0', 'NULL', 'day1')}
+    {row('d1', "'succeeded'", 0, "origin NOT IN ('src1', 'src2', 'src3')", 'first_run', '0', 'NULL', 'day1')}
     UNION ALL
-    {row('d2', "'completed_with_errors'", 1, 'seq % 7 <> 0', 'second_run', '(SELECT count(*) FROM gone)',
+    {row('d2', "'completed_with_errors'", 1, "origin <> 'src5'", 'second_run', '(SELECT count(*) FROM gone)',
          "'lever/fr: 503'", 'day2')}
     UNION ALL
-    {row('d3', "'succeeded'", 0, 'seq % 7 <> 0 AND seq % 2 <> 0', 'third_run', '(SELECT count(*) FROM third_gone)',
+    {row('d3', "'succeeded'", 0, "origin NOT IN ('src5', 'src9', 'src14')", 'third_run', '(SELECT count(*) FROM third_gone)',
          'NULL', 'day2')}"""
 
 
@@ -419,8 +419,8 @@ _ORACLE: dict[str, str] = {
         FROM jobs WHERE source <> 'lever'""",
     "links_replace_all": "SELECT * FROM job_skills WHERE skill <> 'NATION_1'",
     "links_replace_for": """
-        SELECT * FROM job_skills WHERE cast(job_id AS bigint) % 4 <> 0
-        UNION ALL SELECT cast(p_partkey AS varchar), 'fresh', NULL FROM part WHERE p_partkey % 8 = 0""",
+        SELECT * FROM job_skills WHERE job_id NOT IN (SELECT job_id FROM jobs WHERE location = 'ECONOMY')
+        UNION ALL SELECT job_id, 'fresh', NULL FROM jobs WHERE location = 'ECONOMY' AND is_active""",
     "demand_replace_snapshot": """
         SELECT role, skill, category, job_count, cast(d AS varchar) AS snapshot_date FROM (
             SELECT *, snapshot_date AS d FROM demand WHERE snapshot_date NOT IN (DATE '2024-01-06', DATE '2024-01-07')
@@ -497,8 +497,10 @@ _ORACLE: dict[str, str] = {
         SELECT cast(doc_id AS varchar) AS job_id, md5(substr(text, 1, 60)) AS title, md5(text) AS description
         FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)""",
     "extract_incremental": f"""
-        SELECT job_id, skill, category FROM ({_LINKS}) WHERE cast(job_id AS bigint) % 4 = 0
-        UNION ALL SELECT cast(doc_id AS varchar), 'old', NULL FROM documents WHERE doc_id % 4 <> 0""",
+        SELECT job_id, skill, category FROM ({_LINKS}) 
+        WHERE job_id IN (SELECT cast(doc_id AS varchar) FROM labels WHERE quality = 1)
+        UNION ALL SELECT cast(doc_id AS varchar), 'old', NULL FROM documents
+        WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""",
     "user_skill_parse": f"""
         SELECT c.user_id, coalesce(string_agg(f.skill, ', ' ORDER BY f.skill), '') AS skills
         FROM (SELECT conv_id * 1000 + turn AS user_id FROM conversations WHERE role = 'user') c

@@ -151,8 +151,9 @@ def links_replace_all(s: StandIns) -> DataFrame:
 
 @_query
 def links_replace_for(s: StandIns) -> DataFrame:
-    ids = s.table("part").filter("p_partkey % 4 = 0").select(F.col("p_partkey").cast("string").alias("job_id"))
-    fresh = ids.filter("cast(job_id as bigint) % 8 = 0").select(
+    touched = s.jobs.filter("location = 'ECONOMY'")
+    ids = touched.select("job_id")
+    fresh = touched.filter("is_active").select(
         "job_id", F.lit("fresh").alias("skill"), F.lit(None).cast("string").alias("category")
     )
     return matcher.replace_links(s.job_skills, ids, fresh)
@@ -340,7 +341,7 @@ def texts_for_ids(s: StandIns) -> DataFrame:
 
 @_query
 def extract_incremental(s: StandIns) -> DataFrame:
-    ids = s.table("documents").filter("doc_id % 4 = 0").select(F.col("doc_id").cast("string").alias("job_id"))
+    ids = s.table("labels").filter("quality = 1").select(F.col("doc_id").cast("string").alias("job_id"))
     old = s.texts.select("job_id", F.lit("old").alias("skill"), F.lit(None).cast("string").alias("category"))
     return matcher.reextract(s.texts, old, ids, s.words)
 
@@ -640,7 +641,10 @@ def full_run(s: StandIns) -> DataFrame:
     replaces the second's snapshot of the same day."""
     warehouse = Warehouse(s.spark, shared_folder(s.spark))
     docs = s.documents
-    runs = [("d1", 1, "doc_id % 5 <> 0"), ("d2", 2, "doc_id % 7 <> 0"), ("d3", 2, "doc_id % 7 <> 0 and doc_id % 2 <> 0")]
+    runs = [
+        ("d1", 1, "source not in ('src1', 'src2', 'src3')"), ("d2", 2, "source <> 'src5'"),
+        ("d3", 2, "source not in ('src5', 'src9', 'src14')"),
+    ]
     own_token = F.when(F.col("source") == "arbeitnow", "arbeitnow").otherwise(F.col("lang"))
     boards = docs.select(_vendor(), "lang").select("source", own_token.alias("board_token")).distinct()
     for run_id, day, listed in runs:

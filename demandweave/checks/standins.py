@@ -189,12 +189,13 @@ class StandIns:
             F.col("lang").alias("board_token"), F.col("lang").alias("company"), title.alias("title"),
             F.lit(None).cast("string").alias("location"), (F.col("doc_id") % 2 == 0).alias("is_remote"),
             F.concat(F.lit("text "), "n_chars").alias("description"),
-            F.lit(None).cast("string").alias("apply_url"), _at(F.col("doc_id")).alias("posted_at"),
+            F.lit(None).cast("string").alias("apply_url"), _at(F.col("doc_id")).alias("posted_at"), "n_chars",
         )
 
     @cached_property
     def existing(self) -> DataFrame:
-        old = self._documents_as_jobs(3).filter("seq % 3 <> 0")
+        """The longer documents are on record, some of them no longer active."""
+        old = self._documents_as_jobs(3).filter("n_chars >= 900")
         return old.select(
             F.concat(F.lit("j"), "seq").alias("job_id"), "source", "source_job_id", "board_token", "company",
             "title", "location", "is_remote", "description", F.lit("").alias("apply_url"), "posted_at",
@@ -205,9 +206,9 @@ class StandIns:
 
     @cached_property
     def fetched(self) -> DataFrame:
-        """Most documents again, titles cut elsewhere; every seventh arrives twice."""
-        new = self._documents_as_jobs(4).filter("seq % 5 <> 0")
-        again = new.filter("seq % 7 = 0").withColumn("seq", F.col("seq") + 1_000_000_000).withColumn(
+        """The shorter documents are listed now, titles cut elsewhere; one language arrives twice."""
+        new = self._documents_as_jobs(4).filter("n_chars <= 4000").drop("n_chars")
+        again = new.filter("board_token = 'es'").withColumn("seq", F.col("seq") + 1_000_000_000).withColumn(
             "title", F.lit("again")
         )
         return new.unionByName(again)
