@@ -212,22 +212,12 @@ def _node(prefix: str) -> Column:
     return F.struct(F.col(f"{prefix}1").alias("h1"), F.col(f"{prefix}2").alias("h2"))
 
 
-def near_duplicates(
+def text_classes(
     docs: DataFrame, shingle: int = SHINGLE, at_least: float = SIMILARITY, sketches: int = SKETCHES,
     picked: int = PICKED, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """Class of each document: one row per row of ``docs`` with doc_id, class_id, class_size, n_words, kept.
-
-    Classes are the connected parts of links between texts of similarity ``at_least`` or more.
-    class_id is the smallest doc_id of the class, class_size its number of rows. ``kept`` is true
-    for the rows with that doc_id whose text is the smallest by hash among such rows.
-
-    * Equal texts are one node, so copies (also under equal or NULL doc_ids) cost nothing more.
-    * A text with fewer than ``shingle`` words (NULL and '' have none) links to exact copies only.
-    * NULL doc_ids are last in order; a class of NULL doc_ids only has the class_id NULL.
-    * Words are compared without regard to the case of A-Z. Other columns are ignored.
-    * A pair of similarity 0.8 shares no sketch with a chance of about (1 - 0.8 ** 3) ** 24, 3e-8.
-    """
+    """One row per different text: c1, c2 (``content_key``), n_words and what ``near_duplicates`` says
+    of its class: class_size, class_id, first (d, c1, c2: the row that stays)."""
     c1, c2 = content_key(F.col(text))
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), c1.alias("c1"), c2.alias("c2"),
                         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -281,9 +271,43 @@ def near_duplicates(
     classes = nodes.groupBy("part").agg(
         F.sum("n").alias("class_size"), F.min("d").alias("class_id"),
         F.min(F.struct(F.col("d").isNull(), "d", "c1", "c2")).alias("first"))
-    by_text = nodes.select("c1", "c2", "part").join(classes, "part").join(sketched.select("c1", "c2", "n_words"), ["c1", "c2"])
+    return nodes.select("c1", "c2", "part").join(classes, "part").drop("part").join(sketched.select("c1", "c2", "n_words"), ["c1", "c2"])
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = SHINGLE, at_least: float = SIMILARITY, sketches: int = SKETCHES,
+    picked: int = PICKED, doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """Class of each document: one row per row of ``docs`` with doc_id, class_id, class_size, n_words, kept.
+
+    Classes are the connected parts of links between texts of similarity ``at_least`` or more.
+    class_id is the smallest doc_id of the class, class_size its number of rows. ``kept`` is true
+    for the rows with that doc_id whose text is the smallest by hash among such rows.
+
+    * Equal texts are one node, so copies (also under equal or NULL doc_ids) cost nothing more.
+    * A text with fewer than ``shingle`` words (NULL and '' have none, and are equal) links to
+      exact copies only.
+    * NULL doc_ids are last in order; a class of NULL doc_ids only has the class_id NULL.
+    * Words are compared without regard to the case of A-Z. Other columns are ignored.
+    * A pair of similarity 0.8 shares no sketch with a chance of about (1 - 0.8 ** 3) ** 24, 3e-8.
+    """
+    classes = text_classes(docs, shingle, at_least, sketches, picked, doc_id, text)
+    c1, c2 = content_key(F.col(text))
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), c1.alias("c1"), c2.alias("c2"))
     kept = F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("c1") == F.col("first.c1")) & (F.col("c2") == F.col("first.c2"))
-    return ids.join(by_text, ["c1", "c2"]).select("doc_id", "class_id", "class_size", "n_words", kept.alias("kept"))
+    return ids.join(classes, ["c1", "c2"]).select("doc_id", "class_id", "class_size", "n_words", kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, each once; ``options`` are its parameters."""
+    classes = text_classes(docs, doc_id=doc_id, text=text, **options)
+    no_id = F.lit(-(1 << 63))
+    first = classes.select("first.*").distinct().select(
+        F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), F.coalesce("d", no_id).alias("_d"))
+    c1, c2 = content_key(F.col(text))
+    keyed = docs.select("*", c1.alias("_c1"), c2.alias("_c2"), F.coalesce(F.col(doc_id).cast("long"), no_id).alias("_d"))
+    key = ["_c1", "_c2", "_d"]
+    return keyed.join(first, key).dropDuplicates(key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
