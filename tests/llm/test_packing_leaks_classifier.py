@@ -1,0 +1,175 @@
+from __future__ import annotations
+
+import re
+from collections import Counter, defaultdict
+from zlib import crc32
+
+import numpy as np
+import pytest
+
+from demandweave.llm.decontamination import smith_waterman, with_leaks
+from demandweave.llm.packing import OpenBins, pack, pack_documents
+from demandweave.llm.quality_classifier import fit, score_quality
+
+DOCS = "doc_id long, text string, source string"
+
+
+def brute_pack(items, capacity):
+    """Best fit by looking at every bin."""
+    rests = sorted(((s % capacity, k, src, c) for k, src, c, s in items if s % capacity), key=lambda r: (-r[0], r[1]))
+    bins, out = [], {}
+    for size, key, source, cluster in rests:
+        fits = [b for b in bins if b[0] >= size and (source is None or source not in b[1]) and (cluster is None or cluster not in b[2])]
+        best = min(fits, key=lambda b: b[0], default=None)
+        if best is None:
+            best = [capacity, set(), set()]
+            bins.append(best)
+        out[key] = best[0]
+        best[0] -= size
+        best[1].add(source)
+        best[2].add(cluster)
+    return out, len(bins)
+
+
+def test_search_ends_at_the_tightest_compatible_bin(rnd):
+    for _ in range(30):
+        items = [(i, rnd.choice(["a", "a", "b", "c", None]), rnd.choice([1, 1, 2, None, 10 + i]), rnd.randint(1, 250)) for i in range(120)]
+        placed = pack(items, 100)
+        want, n = brute_pack(items, 100)
+        got = {k: 100 - offset for k, piece, first, size, b, offset in placed if size < 100}
+        assert sorted(got) == sorted(want) and len({b for *_, size, b, _ in placed if size < 100}) <= n + 1
+        by_bin = defaultdict(list)
+        for p in placed:
+            by_bin[p[4]].append(p)
+        own = {i[0]: i for i in items}
+        for parts in by_bin.values():
+            parts.sort(key=lambda p: p[5])
+            assert [p[5] for p in parts] == [sum(q[3] for q in parts[:i]) for i in range(len(parts))] and sum(p[3] for p in parts) <= 100
+            for column in (1, 2):
+                held = [own[p[0]][column] for p in parts if p[3] < 100 and own[p[0]][column] is not None]
+                assert len(held) == len(set(held))
+        sizes = Counter()
+        for k, *_, size, _, _ in placed:
+            sizes[k] += size
+        assert sizes == {k: s for k, _, _, s in items}
+
+
+def test_open_bins_prefers_the_tightest():
+    bins = OpenBins(10)
+    assert bins.put(6, 1, 0) == (0, 0) and bins.put(5, 2, 0) == (1, 0)
+    assert bins.put(4, 1, 0) == (1, 5)  # bin 0 is tighter, but has the source
+    assert bins.put(4, 2, 0) == (0, 6) and bins.put(1, 4, 0) == (1, 9)
+
+
+def test_pack_documents(spark, prose):
+    rows = [(i, prose(5 + i % 40), f"s{i % 3}") for i in range(200)] + [(500, prose(130), "s0"), (501, None, "s1"), (502, " ", None), (None, prose(9), None)]
+    rows += [(600 + i, "the same words again", f"t{i}") for i in range(9)] + [(700, "x", "u"), (700, "x", "u")]
+    out = pack_documents(spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", shard long"), 50, shard_rows=60).collect()
+    words = Counter()
+    for r in out:
+        words[r.doc_id] += r.n_words
+    want = Counter()
+    for i, t, _ in rows:
+        want[i] += len((t or "").split())
+    assert words == want and {r.doc_id for r in out if r.bin_id is None} == {501, 502}
+    by_bin = defaultdict(list)
+    for r in out:
+        if r.bin_id is not None:
+            by_bin[r.bin_id].append(r)
+    for own in by_bin.values():
+        assert sum(r.n_words for r in own) <= 50
+        for kind in ("source", "cluster"):
+            held = [r[kind] for r in own if r[kind] is not None]
+            assert len(held) == len(set(held))
+    assert sorted((r.piece, r.first_word, r.n_words) for r in out if r.doc_id == 500) == [(0, 0, 50), (1, 50, 50), (2, 100, 30)]
+    assert pack_documents(spark.createDataFrame([], DOCS)).collect() == []
+
+
+ITEMS = "item_id long, text string"
+
+
+def brute_alignment(text, item):
+    best, row = 0, [0] * (len(text) + 1)
+    for x in item:
+        new = [0]
+        for j, y in enumerate(text):
+            new.append(max(0, row[j] + (1 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+        row, best = new, max(best, *new)
+    return best
+
+
+def test_alignment_score(rnd):
+    for _ in range(300):
+        text, item = [np.array([rnd.randint(0, 5) for _ in range(rnd.randint(1, 30))]) for _ in range(2)]
+        score, first, last = smith_waterman(text, item)
+        assert score == brute_alignment(text.tolist(), item.tolist())
+        if score:
+            assert 0 <= first <= last < len(text) and brute_alignment(text[first : last + 1].tolist(), item.tolist()) == score
+
+
+def test_leaks(spark, rnd, prose):
+    items = [(i, prose(rnd.randint(14, 50))) for i in range(30)] + [(90, "two words"), (91, None), (92, "")]
+    rows, want = [], {}
+    for i in range(120):
+        text = prose(rnd.randint(20, 200))
+        if i % 3 == 0:
+            k = rnd.randrange(30)
+            leak = items[k][1].split()
+            for _ in range(len(leak) // 10 if i % 2 else 0):
+                p = rnd.randrange(len(leak))
+                leak[p : p + rnd.randint(0, 1)] = ["changed"]
+            text += " " + re.sub("[a-z]", lambda m: m[0].upper(), " ".join(leak)).replace(" ", rnd.choice([" ", ", ", "\n"])) + " " + prose(30)
+            want[i] = k
+        rows.append((i, text, None))
+    rows += [(1000, None, "x"), (1001, "", "x"), (1002, "two words", "x")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string, leaks string"), spark.createDataFrame(items, ITEMS)
+    for block in (1 << 20, 1500):  # also in several blocks
+        got = with_leaks(docs, bench, block_bytes=block).collect()
+        assert len(got) == len(rows)
+        assert {r.doc_id: [x.item_id for x in r.leaks] for r in got if r.leaks} == {i: [k] for i, k in want.items()}
+        for r in got:
+            for x in r.leaks:
+                assert 0.5 <= x.score <= 1 and 0 <= x.first_word <= x.last_word
+    exact = [r for r in got if r.doc_id in want and r.doc_id % 2 == 0]
+    assert all(r.leaks[0].score == 1 and r.leaks[0].last_word - r.leaks[0].first_word + 1 == len(items[want[r.doc_id]][1].split()) for r in exact)
+
+
+def test_leaks_in_empty_tables(spark):
+    docs, bench = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string"), spark.createDataFrame([(5, "a b c d"), (6, "a b c d")], ITEMS)
+    assert [x.item_id for x in with_leaks(docs, bench).first().leaks] == [5, 6]
+    assert with_leaks(docs, bench.filter("false")).first().leaks == [] and with_leaks(docs.filter("false"), bench).collect() == []
+
+
+def test_network_learns_and_is_calibrated():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 6))
+    p = 1 / (1 + np.exp(-3 * (x[:, 0] * x[:, 1])))
+    y = (rng.random(3000) < p).astype(float)
+    check = np.arange(3000) % 5 == 4
+    net = fit(x, y, check)
+    scores = net.scores(x[check])
+    assert ((scores > 0.5) == (p[check] > 0.5)).mean() > 0.85 and abs(scores.mean() - y[check].mean()) < 0.05
+
+
+def test_classifier(spark, prose):
+    docs = [(i, prose(40) if i % 3 else (prose(20) + " ").replace(" ", "### ").upper(), "src") for i in range(300)] + [(900, None, None), (901, "", None), (None, "x", None)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(250)] + [(1, 1, 0), (2, None, 0), (5000, 1, 0), (None, 1, 0)]
+    df, known = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = score_quality(df, known).collect()
+    assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    right = [r.predicted == int(r.doc_id % 3 > 0) for r in got if r.held_out and r.doc_id < 300]
+    assert len(right) > 40 and np.mean(right) > 0.95
+    # Labels of held-out rows change nothing.
+    flipped = [(i, 1 - q if q is not None and i is not None and crc32(str(i).encode()) % 4 == 2 else q, t) for i, q, t in labels]
+    again = {r.doc_id: r.score for r in score_quality(df, spark.createDataFrame(flipped, "doc_id long, quality int, toxic int")).collect()}
+    assert again == {r.doc_id: r.score for r in got}
+    assert {r.score for r in score_quality(df, known.filter("false")).collect()} == {0.5}
+    assert score_quality(df.filter("false"), known).collect() == []
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.1"])
+def test_held_out_accuracy(spark, folder):
+    scored = score_quality(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    rows = scored.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").collect()
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
