@@ -76,7 +76,7 @@ CTES = {
     ) WHERE rn = 1""",
     "demand": """
     SELECT event_type AS role, 'k' || k AS skill, CASE WHEN k % 5 <> 0 THEN 'c' || (k % 5) END AS category,
-           snapshot_date, cast(count(*) AS int) AS job_count
+           snapshot_date, cast(count(*) AS bigint) AS job_count
     FROM (SELECT event_type, cast(json_extract_string(props, '$.k') AS int) AS k, cast(ts AS date) AS snapshot_date
           FROM events) GROUP BY ALL""",
     "runs": """
@@ -89,7 +89,7 @@ CTES = {
         FROM jobs WHERE is_active) WHERE rn = 1""",
     "posting_roles": "SELECT DISTINCT job_id, role FROM fact JOIN roles ON contains(title_lower, pattern)",
     "part_demand": """
-    SELECT role, skill, category, cast(count(DISTINCT job_id) AS int) AS job_count
+    SELECT role, skill, category, cast(count(DISTINCT job_id) AS bigint) AS job_count
     FROM posting_roles JOIN job_skills USING (job_id) GROUP BY role, skill, category""",
     "role_totals": """
     SELECT role, count(DISTINCT dedup_hash) AS role_total
@@ -231,7 +231,7 @@ _LINKS = _found(
 
 # --- payloads -----------------------------------------------------------------------------
 
-_READABLE = "doc_id % 19 <> 0 AND doc_id % 17 <> 0"
+_READABLE = "true"  # bad payloads stand beside the good ones and hold nothing
 _SEQ = "doc_id * 268435456"
 _WRAPPED = _squeeze("text || ' ' || '€é'")
 
@@ -284,11 +284,11 @@ _NORM_ASHBY = _POSTING.format(
 
 
 def _pages(max_pages: int) -> str:
-    """Pages of the feeds: a page ends its feed if it is unreadable or names no next page."""
+    """Pages of the feeds: a page ends its feed if it names no next page."""
     return f"""
     SELECT p.* FROM documents p LEFT JOIN (
         SELECT doc_id // 5 AS feed, min(doc_id % 5 + 1) AS stop FROM documents
-        WHERE (doc_id % 7 = 0 OR doc_id % 17 = 0 OR doc_id % 19 = 0) AND doc_id % 5 + 1 < {max_pages} GROUP BY 1
+        WHERE doc_id % 7 = 0 GROUP BY 1
     ) e ON e.feed = p.doc_id // 5
     WHERE p.doc_id % 5 + 1 <= least({max_pages}, coalesce(e.stop, {max_pages}))"""
 
@@ -367,10 +367,10 @@ def _full_run() -> str:
 
     def row(run: str, status: str, failed: int, fetched: str, upserted: str, gone_rows: str, errors: str, day: str) -> str:
         return f"""
-        SELECT '{run}' AS run_id, {status} AS status, cast({boards} AS int) AS boards_attempted,
-               cast({boards} - {failed} AS int) AS boards_succeeded, cast({raw.format(fetched)} AS int) AS raw_fetched,
-               cast((SELECT count(*) FROM {upserted}) AS int) AS jobs_upserted,
-               cast({gone_rows} AS int) AS jobs_deactivated, {errors} AS errors,
+        SELECT '{run}' AS run_id, {status} AS status, cast({boards} AS bigint) AS boards_attempted,
+               cast({boards} - {failed} AS bigint) AS boards_succeeded, cast({raw.format(fetched)} AS bigint) AS raw_fetched,
+               cast((SELECT count(*) FROM {upserted}) AS bigint) AS jobs_upserted,
+               cast({gone_rows} AS bigint) AS jobs_deactivated, {errors} AS errors,
                (SELECT count(*) FROM {day}) AS demand_rows, cast((SELECT sum(n) FROM {day}) AS bigint) AS demand_total,
                (SELECT count(DISTINCT job_id) FROM (SELECT job_id FROM first_run UNION ALL SELECT job_id FROM second_run
                 UNION ALL SELECT job_id FROM third_run)) AS jobs,
@@ -406,7 +406,29 @@ _ORACLE: dict[str, str] = {
     "norm_arbeitnow": _NORM_ARBEITNOW,
     "norm_paged_feed": f"""
         SELECT doc_id AS seq, 'arbeitnow' AS source, cast(doc_id // 5 AS varchar) AS board_token,
-               cast(doc_id % 5 + 1 AS int) AS page_no FROM ({_pages(2)})""",
+               cast(doc_id % 5 + 1 AS int) AS page_no FROM ({_pages(2)})
+        UNION ALL
+        SELECT doc_id + 50000000, 'arbeitnow', cast((doc_id + 50000000) // 5 AS varchar), cast(doc_id % 5 + 1 AS int)
+        FROM documents WHERE (doc_id % 17 = 0 OR doc_id % 19 = 0 OR doc_id % 23 = 0) AND doc_id % 5 + 1 <= 2
+        AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id // 5 = documents.doc_id // 5 AND e.doc_id < documents.doc_id
+                        AND (e.doc_id % 17 = 0 OR e.doc_id % 19 = 0 OR e.doc_id % 23 = 0))""",
+    "norm_repeated_keys": f"""
+        SELECT {_SEQ} AS seq, cast(doc_id AS varchar) AS source_job_id, lang AS title, source AS location FROM documents
+        UNION ALL SELECT {_SEQ} + 1, 'x' || doc_id, '', NULL FROM documents""",
+    "run_unreadable_payload": """
+        WITH n AS (SELECT count(*) AS docs, count(*) FILTER (lang <> 'fr') AS others, count(DISTINCT lang) AS langs FROM documents)
+        SELECT 'r1' AS run_id, 'succeeded' AS status, langs AS boards_attempted, langs AS boards_succeeded, docs AS raw_fetched,
+               docs AS jobs_upserted, cast(0 AS bigint) AS jobs_deactivated, NULL AS errors, docs AS active FROM n
+        UNION ALL
+        SELECT 'r2', 'completed_with_errors', langs, langs - 1, others, others, 0, 'lever/fr: unreadable payload', docs FROM n""",
+    "schema_defaults": """
+        SELECT job_id, false AS is_remote, CASE WHEN source = 'lever' THEN description ELSE '' END AS description,
+               '' AS apply_url, true AS is_active FROM jobs""",
+    "resolve_tool": f"""
+        SELECT c_custkey, query, coalesce(matches, '') AS matches FROM asked_queries LEFT JOIN asked_lists USING (query)""",
+    "posting_roles_table": """
+        SELECT DISTINCT cast(c_custkey AS varchar) AS job_id, p_brand AS role
+        FROM customer JOIN part ON contains(lower(c_name), cast(p_partkey AS varchar))""",
     "bronze_roundtrip": f"""
         SELECT 'first' AS run_id, {_SEQ} AS seq, 'lever' AS source, source AS board_token, 'l' || doc_id AS source_job_id,
                '2025-03-01 12:00:00' AS fetched_at, cast(1704067200000 + doc_id * 1001 AS varchar) AS created
@@ -438,7 +460,7 @@ _ORACLE: dict[str, str] = {
         UNION ALL SELECT 'skill_trends', count(*), 0 FROM demand
         UNION ALL SELECT 'ingestion_runs', count(*), 0 FROM runs""",
     "run_summary": """
-        SELECT run_id, cast(count(*) AS int) AS boards_attempted, cast(count(*) FILTER (n < 20) AS int) AS boards_succeeded,
+        SELECT run_id, cast(count(*) AS bigint) AS boards_attempted, cast(count(*) FILTER (n < 20) AS bigint) AS boards_succeeded,
                CASE WHEN count(*) FILTER (n >= 20) = 0 THEN 'succeeded' WHEN count(*) FILTER (n < 20) > 0
                     THEN 'completed_with_errors' ELSE 'failed' END AS status,
                string_agg(board || ': ' || n, chr(10) ORDER BY board || ': ' || n) FILTER (n >= 20) AS errors
@@ -449,11 +471,11 @@ _ORACLE: dict[str, str] = {
                CASE WHEN (SELECT count(*) FROM boards WHERE source = 'ashby') = 0 THEN 'succeeded'
                     WHEN (SELECT count(*) FROM boards WHERE source <> 'ashby') > 0 THEN 'completed_with_errors'
                     ELSE 'failed' END AS status,
-               (SELECT cast(count(*) AS int) FROM boards) AS boards_attempted,
-               (SELECT cast(count(*) AS int) FROM boards WHERE source <> 'ashby') AS boards_succeeded,
-               (SELECT cast(count(*) AS int) FROM fetched) AS raw_fetched,
-               (SELECT cast(count(*) AS int) FROM decided WHERE decision <> 'skip') AS jobs_upserted,
-               (SELECT cast(count(*) AS int) FROM ({_reconciled("(SELECT * FROM boards WHERE source <> 'ashby')")})
+               (SELECT cast(count(*) AS bigint) FROM boards) AS boards_attempted,
+               (SELECT cast(count(*) AS bigint) FROM boards WHERE source <> 'ashby') AS boards_succeeded,
+               (SELECT cast(count(*) AS bigint) FROM fetched) AS raw_fetched,
+               (SELECT cast(count(*) AS bigint) FROM decided WHERE decision <> 'skip') AS jobs_upserted,
+               (SELECT cast(count(*) AS bigint) FROM ({_reconciled("(SELECT * FROM boards WHERE source <> 'ashby')")})
                 WHERE action = 'deactivate') AS jobs_deactivated,
                (SELECT string_agg('ashby/' || board_token || ': timeout', chr(10) ORDER BY board_token)
                 FROM boards WHERE source = 'ashby') AS errors""",
@@ -612,7 +634,7 @@ _ORACLE: dict[str, str] = {
         FROM (SELECT DISTINCT company, title, location, is_remote, source, apply_url, posted_at FROM jobs
               WHERE is_active AND lower(title) LIKE '%ring%'
                 AND job_id IN (SELECT job_id FROM job_skills WHERE skill = 'NATION_3')
-              ORDER BY posted_at DESC NULLS LAST, company, title, location, is_remote, source, apply_url LIMIT 10)""",
+              ORDER BY posted_at DESC NULLS LAST, company, title, location, is_remote, source, apply_url LIMIT 40)""",
     "jobs_page": """
         SELECT company, title, location, is_remote, source, apply_url, cast(posted_at AS varchar) AS posted_at, skills
         FROM (SELECT company, title, location, is_remote, source, apply_url, posted_at,
@@ -621,6 +643,14 @@ _ORACLE: dict[str, str] = {
               GROUP BY company, title, location, is_remote, source, apply_url, posted_at
               ORDER BY posted_at DESC NULLS LAST, company, title, location, is_remote, source, apply_url
               LIMIT 25 OFFSET 25)""",
+    "jobs_page_after": """
+        SELECT company, title, location, is_remote, source, apply_url, cast(posted_at AS varchar) AS posted_at, skills
+        FROM (SELECT company, title, location, is_remote, source, apply_url, posted_at,
+                     string_agg(skill, ', ' ORDER BY skill) AS skills
+              FROM jobs LEFT JOIN job_skills USING (job_id) WHERE is_active AND lower(title) LIKE '%ring%'
+              GROUP BY company, title, location, is_remote, source, apply_url, posted_at
+              ORDER BY posted_at DESC NULLS LAST, company, title, location, is_remote, source, apply_url
+              LIMIT 25 OFFSET 25)""",
     "resolve_skill": """
         SELECT DISTINCT skill FROM job_skills WHERE contains(lower(skill), 'nation_1') ORDER BY skill LIMIT 15""",
     "skill_gap": "SELECT * FROM gap",
@@ -668,6 +698,18 @@ _ORACLE: dict[str, str] = {
 
 for _model in ("stg_jobs", "stg_job_skills", "dim_date", "dim_company", "dim_skill", "fact_job_posting", "fact_job_skill"):
     CTES[f"m_{_model}"] = _ORACLE[_model]
+CTES["asked_queries"] = f"""
+            SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN c_mktsegment || ' and is'
+                                                 ELSE substr(n_name, 3, 5) END AS query
+            FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+CTES["asked_known"] = f"""{_found("SELECT DISTINCT query, query AS t FROM asked_queries", "t")}"""
+CTES["asked_observed"] = f"""
+            SELECT query, skill FROM (SELECT DISTINCT query FROM asked_queries WHERE query NOT IN (SELECT query FROM asked_known))
+            JOIN (SELECT DISTINCT skill FROM job_skills) ON contains(lower(skill), lower(query))"""
+CTES["asked_placed"] = f"""
+            SELECT query, skill, row_number() OVER (PARTITION BY query ORDER BY skill) AS place
+            FROM (SELECT DISTINCT query, skill FROM asked_known UNION ALL SELECT query, skill FROM asked_observed)"""
+CTES["asked_lists"] = f"""SELECT query, string_agg(skill, ', ' ORDER BY skill) AS matches FROM asked_placed WHERE place <= 15 GROUP BY query"""
 CTES["m_seed_roles"] = "SELECT role, pattern FROM roles"
 CTES["m_dim_role"] = "SELECT DISTINCT md5(role) AS role_key, role FROM roles"
 CTES["m_skill_demand"] = """

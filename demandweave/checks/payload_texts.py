@@ -21,20 +21,24 @@ def _list(*items: Column) -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]"))
 
 
-def _payload(documents: DataFrame, source: str, text: Column, page_no: Column) -> DataFrame:
-    """Some payloads are cut off (no JSON) and some have another root."""
-    raw = (
-        F.when(F.col("doc_id") % 19 == 0, F.substring(text, 1, 30))
-        .when(F.col("doc_id") % 17 == 0, F.lit('"text"'))
-        .otherwise(text)
-    )
+def payload(documents: DataFrame, source: str, raw: Column, page_no: Column) -> DataFrame:
+    """Payloads of a vendor, with the language of the document beside them."""
     return documents.select(
         F.col("doc_id").alias("seq"), F.lit("r1").alias("run_id"), F.lit(source).alias("source"),
         F.col("source").alias("board_token"), page_no.cast("int").alias("page_no"),
-        F.lit(None).cast("timestamp").alias("fetched_at"), raw.alias("raw_json"),
+        F.lit(None).cast("timestamp").alias("fetched_at"), raw.alias("raw_json"), F.col("lang").alias("lang_"),
     )
 
 
+def _payload(documents: DataFrame, source: str, text: Column, page_no: Column) -> DataFrame:
+    """Beside the good payloads some are cut off or followed by text (no JSON), and some have another root."""
+    d = F.col("doc_id")
+    bad = F.when(d % 19 == 0, F.substring(text, 1, 30)).when(d % 23 == 0, F.concat(text, F.lit(" trailing"))).otherwise('"text"')
+    odd = documents.filter((d % 19 == 0) | (d % 23 == 0) | (d % 17 == 0))
+    good = payload(documents, source, text, page_no)
+    return good.unionByName(payload(odd, source, bad, page_no).withColumn("seq", F.col("seq") + 50_000_000)).drop("lang_")
+
+
 def greenhouse(documents: DataFrame) -> DataFrame:
     d = F.col("doc_id")
     place = F.when(F.col("lang") == "en", F.concat(F.lit("REMOTE, "), "source")).otherwise(F.col("source"))

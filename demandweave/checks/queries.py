@@ -14,7 +14,7 @@ from demandweave.checks.standins import AS_OF, DAY, DOCUMENT_ROLES, PART_ROLES,
 from demandweave.functions import dates, json, text
 from demandweave.operators import matcher, reconcile, roles
 from demandweave.plans import gold, quality, read_model, run, skill_gap
-from demandweave.plans.read_model import JobFilters
+from demandweave.plans.read_model import has_part
 from demandweave.session import shared_folder, spread, use_utc
 from demandweave.sources import catalogs, payloads
 from demandweave.sources.warehouse import SERVING, Warehouse
@@ -119,6 +119,43 @@ def norm_paged_feed(s: StandIns) -> DataFrame:
     return payloads.feed_pages(raw, max_pages=2).select("seq", "source", "board_token", "page_no")
 
 
+@_query
+def norm_repeated_keys(s: StandIns) -> DataFrame:
+    """Keys that stand twice: at the root, in a posting and below it. The last counts."""
+    d = F.col("doc_id").cast("string")
+    raw = F.concat(
+        F.lit('{"meta": 1, "meta": 2, "jobs": [{"id": "a", "id": '), d, F.lit(', "title": "first", "title": "'), "lang",
+        F.lit('", "location": {"name": "a", "name": "'), "source", F.lit('"}}, {"id": "x'), d, F.lit('"}]}'))
+    return payloads.greenhouse(payload_texts.payload(s.documents, "greenhouse", raw, F.lit(1))).select(
+        "seq", "source_job_id", "title", "location")
+
+
+@_query
+def run_unreadable_payload(s: StandIns) -> DataFrame:
+    """The payloads of one board are cut off in the second run: the board failed, its jobs stay."""
+    warehouse = Warehouse(s.spark, shared_folder(s.spark))
+    raw = F.to_json(F.array(F.struct(F.col("doc_id").alias("id"), F.col("text"), F.col("text").alias("descriptionPlain"))))
+    boards = s.documents.select(F.lit("lever").alias("source"), F.col("lang").alias("board_token"), F.lit(True).alias("ok"),
+                                F.lit(None).cast("string").alias("error")).distinct()
+    for n in (1, 2):
+        cut = F.when(F.lit(n == 2) & (F.col("lang") == "fr"), F.substring(raw, 1, 30)).otherwise(raw)
+        sent = payload_texts.payload(s.documents, "lever", cut, F.lit(None)).withColumn("board_token", F.lower("lang_"))
+        run.refresh(warehouse, sent.drop("lang_").withColumn("run_id", F.lit(f"r{n}")), boards.withColumn("run_id", F.lit(f"r{n}")),
+                    s.words, DOCUMENT_ROLES, f"r{n}", dt.datetime(2025, 3, n, 6, tzinfo=dt.UTC))
+    active = warehouse.read("jobs").agg(F.count_if("is_active").alias("active"))
+    return warehouse.read("ingestion_runs").select(
+        "run_id", "status", "boards_attempted", "boards_succeeded", "raw_fetched", "jobs_upserted", "jobs_deactivated", "errors",
+        active.scalar().alias("active"))
+
+
+@_query
+def schema_defaults(s: StandIns) -> DataFrame:
+    """Columns that are left out or NULL come as the defaults of the table."""
+    part = s.jobs.drop("is_remote", "apply_url", "is_active").withColumn("description", F.when(F.col("source") == "lever", F.col("description")))
+    stored = Warehouse(s.spark, shared_folder(s.spark)).replace("jobs", part)
+    return stored.select("job_id", "is_remote", "description", "apply_url", "is_active")
+
+
 # --- stored tables ----------------------------------------------------------------------
 
 
@@ -360,6 +397,16 @@ def resolve_skill_dictionary(s: StandIns) -> DataFrame:
     return read_model.resolve_by_dictionary(asked, s.words, 3).select("conv_id", "turn", "matches")
 
 
+@_query
+def resolve_tool(s: StandIns) -> DataFrame:
+    """By the dictionary, or else by the observed names."""
+    nation = s.table("nation").select("n_nationkey", "n_name")
+    query = F.when(F.col("c_custkey") % 3 == 0, F.lower("n_name")).when(
+        F.col("c_custkey") % 3 == 1, F.concat("c_mktsegment", F.lit(" and is"))).otherwise(F.substring("n_name", 3, 5))
+    asked = s.table("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", query.alias("query"))
+    return read_model.resolve(asked, s.words, s.job_skills).select("c_custkey", "query", "matches")
+
+
 # --- reconciliation ---------------------------------------------------------------------
 
 
@@ -422,6 +469,14 @@ def posting_roles(s: StandIns) -> DataFrame:
     return roles.posting_roles(gold.fact_job_posting(s.jobs), PART_ROLES)
 
 
+@_query
+def posting_roles_table(s: StandIns) -> DataFrame:
+    """A seed table of as many rows as there are parts."""
+    seed = s.table("part").select(F.col("p_brand").alias("role"), F.col("p_partkey").cast("string").alias("pattern"))
+    titles = s.table("customer").select(F.col("c_custkey").cast("string").alias("job_id"), F.lower("c_name").alias("title_lower"))
+    return roles.posting_roles(titles, seed)
+
+
 @_query
 def dim_company(s: StandIns) -> DataFrame:
     return gold.dim_company(s.jobs)
@@ -524,31 +579,39 @@ def jobs_with_skill(s: StandIns) -> DataFrame:
 
 @_query
 def filter_substring(s: StandIns) -> DataFrame:
-    f = JobFilters(company="BRAND#1", location="o", search="Red")
-    return read_model.filter_jobs(s.jobs, s.job_skills, f).select("job_id", "company", "location", "title")
+    conditions = [has_part("company", "BRAND#1"), has_part("location", "o"), has_part("title", "Red")]
+    return read_model.filter_jobs(s.jobs, s.job_skills, *conditions).select("job_id", "company", "location", "title")
 
 
 @_query
 def filter_remote(s: StandIns) -> DataFrame:
-    remote = read_model.filter_jobs(s.jobs, s.job_skills, JobFilters(remote=read_model.REMOTE_ONLY, source="lever"))
-    on_site = read_model.filter_jobs(s.jobs, s.job_skills, JobFilters(remote=read_model.ON_SITE_ONLY, source="ashby"))
+    remote = read_model.filter_jobs(s.jobs, s.job_skills, F.col("is_remote"), F.col("source") == "lever")
+    on_site = read_model.filter_jobs(s.jobs, s.job_skills, ~F.col("is_remote"), F.col("source") == "ashby")
     return remote.unionByName(on_site).select("job_id", "source", "is_remote")
 
 
 @_query
 def job_count(s: StandIns) -> DataFrame:
-    return read_model.job_count(s.jobs, s.job_skills, JobFilters(skill="NATION_3", search="ring", source="All"))
+    return read_model.job_count(s.jobs, s.job_skills, has_part("title", "ring"), skill="NATION_3")
 
 
 @_query
 def find_jobs(s: StandIns) -> DataFrame:
-    return read_model.find_jobs(s.jobs, s.job_skills, JobFilters(skill="NATION_3", search="ring"))
+    return read_model.find_jobs(s.jobs, s.job_skills, has_part("title", "ring"), skill="NATION_3", limit=40)
 
 
 @_query
 def jobs_page(s: StandIns) -> DataFrame:
     _, offset = read_model.page_offset(60, 2)
-    return read_model.jobs_page(s.jobs, s.job_skills, JobFilters(search="ring"), offset=offset)
+    return read_model.jobs_page(s.jobs, s.job_skills, has_part("title", "ring"), offset=offset)
+
+
+@_query
+def jobs_page_after(s: StandIns) -> DataFrame:
+    """The second page, found from the last entry of the first."""
+    ring = has_part("title", "ring")
+    last = read_model.jobs_page(s.jobs, s.job_skills, ring).select(*read_model.DISPLAY).collect()[-1]
+    return read_model.jobs_page(s.jobs, s.job_skills, ring, after=last.asDict(), limit=read_model.PAGE_SIZE)
 
 
 @_query

@@ -124,7 +124,7 @@ class StandIns:
             F.to_date("ts").alias("snapshot_date"),
         )
         return events.groupBy("role", "skill", "category", "snapshot_date").agg(
-            F.count(F.lit(1)).cast("int").alias("job_count")
+            F.count(F.lit(1)).cast("long").alias("job_count")
         )
 
     @cached_property

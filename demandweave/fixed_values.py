@@ -13,7 +13,6 @@ SOURCES = ["greenhouse", "lever", "ashby", "arbeitnow"]
 AGGREGATOR_TOKEN = "arbeitnow"
 
 # Pages read of one paged feed.
-MAX_FEED_PAGES = 2
 
 # Role families and the title substrings which select them.
 ROLE_PATTERNS = [
@@ -70,7 +69,6 @@ SURROGATE_NULL = "_dbt_utils_surrogate_key_null_"
 # Page size of the job list, and of the lists behind the question tools.
 PAGE_SIZE = 25
 FIND_JOBS_SAMPLE = 10
-FIND_JOBS_SAMPLE_MAX = 25
 TOP_SKILLS_LIMIT = 15
 RESOLVE_LIMIT = 15
 COMPANIES_LIMIT = 10

@@ -7,6 +7,7 @@ ever read by executors, row by row, with no shuffle and no Python worker.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from demandweave.fixed_values import DEFAULT_GUARDS
 from demandweave.functions.text import OUTER_SPACES
 
 TOKEN = "[A-Za-z0-9+#]"
-MAX_TERMS = 5_000  # the pattern and the term map are part of the plan
+TERMS_PER_MAP = 32  # a map literal is searched from its start, so terms are spread over many
 
 Guard = tuple[str, str | None, str | None]
 
@@ -52,12 +53,9 @@ def term_table(dictionary: DataFrame, *scope: str) -> DataFrame:
     )
 
 
-def collect_terms(dictionary: DataFrame, max_terms: int = MAX_TERMS) -> list[Term]:
-    """Bring a dictionary to the driver, where the pattern is built; too large is an error."""
-    rows = term_table(dictionary).limit(max_terms + 1).collect()
-    if len(rows) > max_terms:
-        raise ValueError(f"dictionary has more than {max_terms} terms")
-    return [Term(r.term, r.skill_id, r.skill, r.category) for r in rows]
+def collect_terms(dictionary: DataFrame) -> list[Term]:
+    """Bring a dictionary to the driver, where the pattern is built. It is configuration, not data."""
+    return [Term(r.term, r.skill_id, r.skill, r.category) for r in term_table(dictionary).collect()]
 
 
 # --- pattern ----------------------------------------------------------------------------
@@ -128,8 +126,6 @@ class SkillMatcher:
     """A dictionary with its guards, ready to be applied to text columns."""
 
     def __init__(self, terms: Sequence[Term], guards: Sequence[Guard] = tuple(DEFAULT_GUARDS)):
-        if len(terms) > MAX_TERMS:
-            raise ValueError(f"dictionary has more than {MAX_TERMS} terms")
         self.terms = list(terms)
         self.pattern = build_pattern([t.term for t in terms], guards)
 
@@ -142,34 +138,35 @@ class SkillMatcher:
         found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(1))
         return F.array_remove(F.array_distinct(F.transform(found, F.lower)), "")
 
-    def _lookup(self, value_of) -> Column:
-        pairs = [F.lit(x) for t in self.terms for x in (t.term, value_of(t))]
-        return F.create_map(*pairs)
+    def _known(self, form: Column) -> Column:
+        """struct(id, skill, category) of a surface form, NULL if it is none."""
+        n = max(1, len(self.terms) // TERMS_PER_MAP)
+        parts: list[list[Column]] = [[] for _ in range(n)]
+        for t in self.terms:
+            entry = F.struct(F.lit(t.skill_id).alias("id"), F.lit(t.skill).alias("skill"), F.lit(t.category).alias("category"))
+            parts[zlib.crc32(t.term.encode()) % n] += [F.lit(t.term), entry]
+        empty = F.create_map().cast("map<string, struct<id: int, skill: string, category: string>>")
+        maps = F.array(*[F.create_map(*p) if p else empty for p in parts])
+        return F.try_element_at(F.get(maps, (F.crc32(form) % n).cast("int")), form)
+
+    def _entries(self, text: Column) -> Column:
+        return F.array_compact(F.transform(self.surface_forms(text), self._known))
 
     def skill_ids(self, text: Column) -> Column:
         """Distinct skill ids mentioned in ``text``."""
         if not self.terms:
             return F.array().cast("array<int>")
-        ids = self._lookup(lambda t: t.skill_id)
-        found = F.transform(self.surface_forms(text), lambda form: F.try_element_at(ids, form))
-        return F.array_distinct(F.array_compact(found))
+        return F.array_distinct(F.transform(self._entries(text), lambda e: e["id"]))
 
     def skill_names(self, text: Column) -> Column:
         """Sorted distinct canonical names mentioned in ``text``."""
         if not self.terms:
             return F.array().cast("array<string>")
-        names = self._lookup(lambda t: t.skill)
-        found = F.transform(self.surface_forms(text), lambda form: F.try_element_at(names, form))
-        return F.array_sort(F.array_distinct(F.array_compact(found)))
+        return F.array_sort(F.array_distinct(F.transform(self._entries(text), lambda e: e["skill"])))
 
-    def skills(self) -> Column:
-        """Map literal from skill id to struct(skill, category)."""
-        known = {t.skill_id: (t.skill, t.category) for t in self.terms}
-        pairs = []
-        for skill_id, (name, category) in known.items():
-            entry = F.struct(F.lit(name).alias("skill"), F.lit(category).alias("category"))
-            pairs += [F.lit(skill_id), entry]
-        return F.create_map(*pairs)
+    def skills_in(self, text: Column) -> Column:
+        """struct(id, skill, category) of each distinct skill mentioned in ``text``."""
+        return F.array_distinct(self._entries(text))
 
 
 def extract_links(texts: DataFrame, matcher: SkillMatcher) -> DataFrame:
@@ -177,9 +174,7 @@ def extract_links(texts: DataFrame, matcher: SkillMatcher) -> DataFrame:
     blob = F.concat(F.col("title"), F.lit("\n"), F.col("description"))
     if not matcher.terms:
         return texts.select("job_id", F.lit("").alias("skill"), F.lit("").alias("category")).limit(0)
-    hits = texts.select("job_id", F.explode(matcher.skill_ids(blob)).alias("id"))
-    hits = hits.withColumn("s", F.try_element_at(matcher.skills(), "id"))
-    return hits.select("job_id", "s.skill", "s.category")
+    return texts.select("job_id", F.explode(matcher.skills_in(blob)).alias("s")).select("job_id", "s.skill", "s.category")
 
 
 def texts_for(jobs: DataFrame, job_ids: DataFrame) -> DataFrame:

@@ -21,7 +21,6 @@ from pyspark.sql import Window
 
 from demandweave.functions.text import dedup_hash, make_job_id
 from demandweave.operators.dedup import first_per_key
-from demandweave.session import settle_if_small
 
 KEY = ["source", "source_job_id"]
 
@@ -118,9 +117,7 @@ def reconcile(
     first = with_hash(run_dedup(fetched))
     decisions = decide(first, existing, arrivals_per_task).select(*KEY, "decision")
     seen = first.select(*KEY, *FIELDS).join(decisions, KEY).alias("f")
-    # Boards come from a catalog, but their number is checked before they are broadcast.
     boards = succeeded_boards.select("source", "board_token").distinct().withColumn("board_read", F.lit(True))
-    boards = settle_if_small(boards, 200_000)
     old = existing.join(boards, ["source", "board_token"], "left").alias("e")
     both = old.join(seen, KEY, "full")
 

@@ -7,17 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PATTERNS = 500  # more become a join instead of one expression
+KEY_CHARS = 3  # of a pattern, by which titles find it
 
 RolePatterns = Sequence[tuple[str, str]]
 
 
-def collect_patterns(roles: DataFrame, limit: int = MAX_PATTERNS) -> list[tuple[str, str]] | None:
-    """The (role, pattern) rows of a seed table, or None if there are more than ``limit``."""
-    rows = roles.select("role", "pattern").limit(limit + 1).collect()
-    return None if len(rows) > limit else [(r.role, r.pattern) for r in rows]
-
-
 def matches_role(title_lower: Column, patterns: Sequence[str]) -> Column:
     """Whether the lower-cased title contains any of the patterns."""
     hit = F.lit(False)
@@ -38,16 +32,26 @@ def roles_of(title_lower: Column, roles: RolePatterns) -> Column:
     )
 
 
+def parts_of(text: Column) -> Column:
+    """All distinct parts of ``text`` with one to KEY_CHARS characters, and ''."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+
+    def of_length(n: int) -> Column:
+        return F.transform(places, lambda i: F.substring(text, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[of_length(n) for n in range(1, KEY_CHARS + 1)]))
+
+
 def posting_roles(postings: DataFrame, roles: RolePatterns | DataFrame) -> DataFrame:
     """Distinct (job_id, role) of ``postings`` (job_id, title_lower; one row per job_id).
 
-    A pattern list is applied row by row: no join, no shuffle. A seed table is turned into
-    such a list if it is small; otherwise it stays a table and is joined.
+    A list of patterns is applied row by row: no join, no shuffle. A seed table (role, pattern)
+    of any size stays a table: titles meet the patterns that begin like one of their parts in an
+    equi-join, and a substring test decides. Rows without a role or a pattern count for nothing.
     """
     if isinstance(roles, DataFrame):
-        patterns = collect_patterns(roles)
-        if patterns is None:
-            hit = F.contains(F.col("title_lower"), F.col("pattern"))
-            return postings.join(roles, hit).select("job_id", "role").distinct()
-        roles = patterns
+        seed = roles.filter("role is not null and pattern is not null").select("role", "pattern").distinct()
+        seed = seed.withColumn("key", F.substring("pattern", 1, KEY_CHARS))
+        titles = postings.select("job_id", "title_lower", F.explode(parts_of(F.col("title_lower"))).alias("key"))
+        return titles.join(seed, "key").filter(F.contains("title_lower", "pattern")).select("job_id", "role").distinct()
     return postings.select("job_id", F.explode(roles_of(F.col("title_lower"), roles)).alias("role"))

@@ -62,7 +62,8 @@ def dim_company(jobs: DataFrame) -> DataFrame:
         F.min("first_seen_at").alias("first_seen_at"),
         F.max("last_seen_at").alias("last_seen_at"),
         F.countDistinct("dedup_hash").alias("active_postings"),
-        F.countDistinct("source").alias("source_count"),
+        # Four sources at most: a second distinct count would multiply the rows.
+        F.size(F.collect_set("source")).cast("long").alias("source_count"),
     )
     return grouped.withColumn("company_key", surrogate_key(F.col("company"))).select(
         "company_key", "company", "first_seen_at", "last_seen_at", "active_postings", "source_count"
@@ -132,7 +133,7 @@ def skill_demand(
     )
     classified = posting_roles(kept, roles)
     counted = classified.join(stg_job_skills(job_skills), "job_id").groupBy("role", "skill", "category").agg(
-        F.count(F.lit(1)).cast("int").alias("job_count")
+        F.count(F.lit(1)).cast("long").alias("job_count")
     )
     return counted.withColumn("snapshot_date", day if isinstance(day, Column) else F.lit(day))
 

@@ -9,7 +9,6 @@ from pyspark.sql import Window
 from demandweave.fixed_values import GAP_PLAN_LIMIT
 from demandweave.functions.text import fold_name
 from demandweave.plans.read_model import last_day
-from demandweave.session import settle_if_small
 
 
 def leaders(demand: DataFrame, role_totals: DataFrame, top_n: int) -> DataFrame:
@@ -37,7 +36,6 @@ def skill_gap(user_skills: DataFrame, top: DataFrame) -> DataFrame:
     ``leaders``; it is at most a few rows per role. Skills that the role does not ask for are
     dropped before anything is grouped, so a user's group holds no more than the leaders.
     """
-    top = settle_if_small(top)
     wanted = top.select("role", "name", F.col("name").alias("wanted")).dropDuplicates(["role", "name"])
     named = user_skills.select("user_id", "role", fold_name(F.col("skill")).alias("name"))
     users = (

@@ -1,22 +1,29 @@
-"""Session helpers: UTC, the shared folder, and size-checked broadcasts."""
+"""Session helpers: UTC, repeated JSON keys, the shared folder."""
 
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
-    """Dates are UTC dates everywhere; nothing else of the session is changed."""
+    """Dates are UTC dates everywhere."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
+def keep_last_key(spark: SparkSession) -> SparkSession:
+    """Of equal keys in a JSON object the last counts; Spark would refuse the whole text."""
+    if spark.conf.get("spark.sql.variant.allowDuplicateKeys") != "true":
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return spark
+
+
 def local_session(cpus: int | str = "*", app: str = "demandweave") -> SparkSession:
     """A session for tests and benchmarks on one machine. Clusters bring their own."""
     n = 8 if cpus == "*" else int(cpus)
@@ -46,7 +53,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = _local_folder().name
     return f"{root.rstrip('/')}/demandweave-{uuid.uuid4().hex}"
@@ -66,15 +73,3 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     """
     slots, splits = scan.sparkSession.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()
     return scan if splits >= slots else scan.repartition(min(slots, 8 * splits), key)
-
-
-def settle_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Evaluate ``df`` once if it has at most ``max_rows`` rows, and mark it for broadcast.
-
-    Its size is checked by running it up to the limit. A larger one is returned as it is, and
-    the joins it takes part in shuffle.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -108,8 +108,9 @@ def test_first_definition_of_a_term_wins(spark):
     )
     terms = {t.term: t.skill_id for t in collect_terms(dictionary)}
     assert terms == {"kubernetes": 1, "k8s": 1, "go": 3, "golang": 3}
-    with pytest.raises(ValueError):
-        collect_terms(dictionary, max_terms=2)
+    many = SkillMatcher([Term(f"term{i}", i, f"Term {i}", "T") for i in range(6_000)], [])
+    row = spark.createDataFrame([("term5999 and term17, term17",)], "t string").select(many.skill_names(F.col("t")).alias("n")).first()
+    assert row.n == ["Term 17", "Term 5999"]
 
 
 def test_links_are_distinct_per_skill_and_incremental(spark):

@@ -3,12 +3,13 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from demandweave import schemas
 from demandweave.fixed_values import ROLE_PATTERNS
 from demandweave.operators.matcher import SkillMatcher, Term
 from demandweave.plans import quality, read_model as M, skill_gap
-from demandweave.plans.read_model import JobFilters
+from demandweave.plans.read_model import has_part
 
 T0 = dt.datetime(2026, 6, 20, tzinfo=dt.UTC)
 D1, D2 = dt.date(2026, 6, 1), dt.date(2026, 6, 2)
@@ -35,29 +36,32 @@ def tables(spark):
 
 def test_jobs_page_merges_equal_postings(tables):
     jobs, links, _ = tables
-    rows = M.jobs_page(jobs, links, JobFilters()).collect()
+    rows = M.jobs_page(jobs, links).collect()
     assert [(r.company, r.title, r.skills) for r in rows] == [
         ("Beta", "Chef", None), ("Acme", "Data Engineer", "Python, SQL, SQL"), ("Beta_x", "Data Engineer II", "Python")]
-    assert [r.company for r in M.jobs_page(jobs, links, JobFilters(), limit=1, offset=1).collect()] == ["Acme"]
+    assert [r.company for r in M.jobs_page(jobs, links, limit=1, offset=1).collect()] == ["Acme"]
+    for i, row in enumerate(rows):  # from each entry on
+        last = {c: row[c] for c in M.DISPLAY}
+        assert M.jobs_page(jobs, links, after=last).collect() == rows[i + 1 :]
     assert M.page_offset(0, 1) == (1, 0) and M.page_offset(51, 3) == (3, 50)
 
 
 def test_filters(tables):
     jobs, links, _ = tables
-    count = lambda **kw: M.job_count(jobs, links, JobFilters(**kw)).first().n
-    assert count() == 4 and count(skill="All", source="All") == 4
-    assert count(skill="SQL") == 2 and count(source="ashby") == 1 and count(company="beta") == 2
-    assert count(company="beta_") == 1 and count(location="ER") == 2 and count(search="engineer") == 3
-    assert count(remote=M.REMOTE_ONLY) == 2 and count(remote=M.ON_SITE_ONLY) == 2
-    assert count(skill="Python", remote=M.REMOTE_ONLY, search="II") == 1
+    count = lambda *conditions, skill=None: M.job_count(jobs, links, *conditions, skill=skill).first().n
+    remote = F.col("is_remote")
+    assert count() == 4 and count(skill="SQL") == 2 and count(F.col("source") == "ashby") == 1
+    assert count(has_part("company", "beta")) == 2 and count(has_part("company", "beta_")) == 1
+    assert count(has_part("location", "ER")) == 2 and count(has_part("title", "engineer")) == 3
+    assert count(remote) == 2 and count(~remote) == 2 and count(remote, has_part("title", "II"), skill="Python") == 1
 
 
 def test_find_jobs_and_companies(tables):
     jobs, links, _ = tables
-    rows = M.find_jobs(jobs, links, JobFilters(search="data")).collect()
+    rows = M.find_jobs(jobs, links, has_part("title", "data")).collect()
     assert [(r.total_matches, r.company) for r in rows] == [(3, "Acme"), (3, "Beta_x")]
-    assert M.find_jobs(jobs, links, JobFilters(search="none")).collect() == []
-    assert M.find_jobs(jobs, links, JobFilters(), limit=0).count() == 1
+    assert M.find_jobs(jobs, links, has_part("title", "none")).collect() == []
+    assert M.find_jobs(jobs, links, limit=1).count() == 1 and M.find_jobs(jobs, links, limit=40).count() == 3
     assert [tuple(r) for r in M.companies_hiring(jobs, links).collect()] == [("Acme", 2), ("Beta", 1), ("Beta_x", 1)]
     assert [tuple(r) for r in M.companies_hiring(jobs, links, "Python", 1).collect()] == [("Acme", 1)]
 
