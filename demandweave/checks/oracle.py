@@ -39,15 +39,16 @@ def _values(rows: list[tuple]) -> str:
 
 _DOCUMENT_JOBS = """
     SELECT doc_id AS seq, {source} AS source, cast(doc_id AS varchar) AS source_job_id, lang AS board_token,
-           lang AS company, substr({norm}, 1, {chars}) AS title, cast(NULL AS varchar) AS location,
-           doc_id % 2 = 0 AS is_remote, 'text ' || n_chars AS description, {at} AS posted_at, n_chars
+           lang AS company, {title} AS title, cast(NULL AS varchar) AS location,
+           doc_id % 2 = 0 AS is_remote, text AS description, {at} AS posted_at, documents.source AS origin
     FROM documents"""
 
 
-def _document_jobs(chars: int) -> str:
-    return _DOCUMENT_JOBS.format(
-        source=_source("cast(substr(source, 4, 3) AS int)"), norm=_norm("text"), chars=chars, at=_at("doc_id")
-    )
+def _document_jobs(title: str = "text") -> str:
+    return _DOCUMENT_JOBS.format(source=_source("cast(substr(documents.source, 4, 3) AS int)"), title=title, at=_at("doc_id"))
+
+
+_CHANGED = "CASE WHEN doc_id % 7 = 0 THEN text || ' ii' ELSE text END"
 
 
 # Named subqueries; each may use those before it.
@@ -111,12 +112,12 @@ CTES = {
     SELECT 'j' || seq AS job_id, source, source_job_id, board_token, company, title, location, is_remote,
            description, '' AS apply_url, posted_at, {_hash('company', 'title', 'location')} AS dedup_hash,
            {_at('0')} AS first_seen_at, {_at('86400')} AS last_seen_at, seq % 11 <> 0 AS is_active
-    FROM ({_document_jobs(3)}) WHERE n_chars >= 900""",
+    FROM ({_document_jobs()}) WHERE origin NOT IN ('src3', 'src7')""",
     "fetched": f"""
-    SELECT * EXCLUDE (n_chars) FROM ({_document_jobs(4)}) WHERE n_chars <= 4000
+    SELECT * EXCLUDE (origin) FROM ({_document_jobs(_CHANGED)}) WHERE origin NOT IN ('src5', 'src11')
     UNION ALL
-    SELECT * EXCLUDE (n_chars) REPLACE (seq + 1000000000 AS seq, 'again' AS title) FROM ({_document_jobs(4)})
-    WHERE n_chars <= 4000 AND board_token = 'es'""",
+    SELECT * EXCLUDE (origin) REPLACE (seq + 1000000000 AS seq, 'again' AS title) FROM ({_document_jobs()})
+    WHERE origin NOT IN ('src5', 'src11') AND board_token = 'es'""",
     "arrivals": f"""
     SELECT *, {_hash('company', 'title', 'location')} AS dedup_hash FROM (
         SELECT *, row_number() OVER (PARTITION BY source, source_job_id ORDER BY seq) AS rn FROM fetched) WHERE rn = 1""",
@@ -132,7 +133,7 @@ CTES = {
                 PARTITION BY dedup_hash ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
             osrc, first_value(source) OVER (PARTITION BY dedup_hash ORDER BY seq)) AS own FROM marked)""",
     "boards": f"""
-    SELECT DISTINCT source, board_token FROM ({_document_jobs(1)})
+    SELECT DISTINCT source, board_token FROM ({_document_jobs()})
     WHERE NOT (source = 'lever' AND board_token = 'fr')""",
 }
 
@@ -251,7 +252,7 @@ _POSTING = """
 
 _NORM_GREENHOUSE = _POSTING.format(
     seq=_SEQ, source="greenhouse", token="source", id="cast(doc_id AS varchar)",
-    company="CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END", title="substr(text, 1, 40)",
+    company="CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END", title="text",
     location="CASE WHEN lang = 'en' THEN 'REMOTE, ' || source ELSE source END", remote="lang = 'en'",
     description=_WRAPPED, url="'https://b.example/' || doc_id",
     posted=f"CASE WHEN doc_id % 2 = 0 THEN {_iso_at('0')} ELSE {_iso_at('-7200000000')} END", where=_READABLE,
@@ -261,7 +262,7 @@ _NORM_GREENHOUSE = _POSTING.format(
 )
 
 _NORM_LEVER = _POSTING.format(
-    seq=_SEQ, source="lever", token="source", id="'l' || doc_id", company="source", title="substr(text, 1, 40)",
+    seq=_SEQ, source="lever", token="source", id="'l' || doc_id", company="source", title="text",
     location="source", remote="doc_id % 2 = 0 OR doc_id % 5 = 0",
     description=f"CASE WHEN doc_id % 3 = 0 THEN {_WRAPPED} ELSE text END",
     url="CASE WHEN doc_id % 4 = 0 THEN 'https://a.example' ELSE 'https://h.example' END",
@@ -272,7 +273,7 @@ _NORM_LEVER = _POSTING.format(
 )
 
 _NORM_ASHBY = _POSTING.format(
-    seq=_SEQ, source="ashby", token="source", id="'a' || doc_id", company="source", title="substr(text, 1, 40)",
+    seq=_SEQ, source="ashby", token="source", id="'a' || doc_id", company="source", title="text",
     location="source", remote="doc_id % 2 = 0",
     description=f"CASE WHEN doc_id % 3 = 0 THEN {_WRAPPED} ELSE text END",
     url="CASE WHEN doc_id % 4 = 0 THEN 'https://j.example' ELSE 'https://a.example' END",
@@ -295,7 +296,7 @@ def _pages(max_pages: int) -> str:
 
 _NORM_ARBEITNOW = _POSTING.format(
     seq=_SEQ, source="arbeitnow", token="'arbeitnow'", id="'s' || doc_id",
-    company="CASE WHEN doc_id % 3 = 0 THEN 'arbeitnow' ELSE lang END", title="substr(text, 1, 40)", location="source",
+    company="CASE WHEN doc_id % 3 = 0 THEN 'arbeitnow' ELSE lang END", title="text", location="source",
     remote="doc_id % 2 = 0", description=_WRAPPED, url="'https://f.example/' || doc_id",
     posted=_at("doc_id"), where=_READABLE,
 ).replace("FROM documents", f"FROM ({_pages(5)})")
@@ -314,9 +315,9 @@ _KEY_NULL = "_dbt_utils_surrogate_key_null_"
 def _full_run() -> str:
     docs = f"""
     SELECT doc_id AS seq, source AS origin, {_source('doc_id')} AS source, cast(doc_id AS varchar) AS id,
-           CASE WHEN doc_id % 4 = 3 THEN 'arbeitnow' ELSE lang END AS board, substr(text, 1, 6) AS title,
-           {_hash('lang', 'substr(text, 1, 6)', "''")} AS hash,
-           sha256({_source('doc_id')} || '|' || doc_id) AS job_id, substr(text, 1, 6) || chr(10) || text AS blob
+           CASE WHEN doc_id % 4 = 3 THEN 'arbeitnow' ELSE lang END AS board, text AS title,
+           {_hash('lang', 'text', "''")} AS hash,
+           sha256({_source('doc_id')} || '|' || doc_id) AS job_id, text || chr(10) || text AS blob
     FROM documents"""
     first = """
     SELECT * FROM (SELECT *, first_value(source) OVER (PARTITION BY hash ORDER BY seq) AS own

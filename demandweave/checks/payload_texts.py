@@ -43,7 +43,7 @@ def greenhouse(documents: DataFrame) -> DataFrame:
     d = F.col("doc_id")
     place = F.when(F.col("lang") == "en", F.concat(F.lit("REMOTE, "), "source")).otherwise(F.col("source"))
     good = F.to_json(F.struct(
-        d.alias("id"), F.substring("text", 1, 40).alias("title"), F.struct(place.alias("name")).alias("location"),
+        d.alias("id"), F.col("text").alias("title"), F.struct(place.alias("name")).alias("location"),
         F.when(d % 3 == 0, "  ").otherwise(F.col("lang")).alias("company_name"),
         _wrapped(F.col("text")).alias("content"), F.concat(F.lit("https://b.example/"), d).alias("absolute_url"),
         F.when(d % 2 == 0, "").otherwise(_iso(d, "+02:00")).alias("updated_at"),
@@ -58,7 +58,7 @@ def greenhouse(documents: DataFrame) -> DataFrame:
 def lever(documents: DataFrame) -> DataFrame:
     d = F.col("doc_id")
     good = F.to_json(F.struct(
-        F.concat(F.lit("l"), d).alias("id"), F.substring("text", 1, 40).alias("text"),
+        F.concat(F.lit("l"), d).alias("id"), F.col("text").alias("text"),
         F.struct(F.col("source").alias("location"), F.when(d % 2 == 0, "Full-time (remote)").alias("commitment"))
         .alias("categories"),
         F.when(d % 3 == 0, " \n").otherwise(F.col("text")).alias("descriptionPlain"),
@@ -75,7 +75,7 @@ def lever(documents: DataFrame) -> DataFrame:
 def ashby(documents: DataFrame) -> DataFrame:
     d = F.col("doc_id")
     good = F.to_json(F.struct(
-        F.concat(F.lit("a"), d).alias("id"), F.substring("text", 1, 40).alias("title"),
+        F.concat(F.lit("a"), d).alias("id"), F.col("text").alias("title"),
         F.col("source").alias("location"), (d % 2 == 0).alias("isRemote"),
         F.when(d % 3 == 0, "").otherwise(F.col("text")).alias("descriptionPlain"),
         _wrapped(F.col("text")).alias("descriptionHtml"),
@@ -92,7 +92,7 @@ def arbeitnow(documents: DataFrame) -> DataFrame:
     d = F.col("doc_id")
     good = F.to_json(F.struct(
         F.concat(F.lit("s"), d).alias("slug"), F.when(d % 3 == 0, " ").otherwise(F.col("lang")).alias("company_name"),
-        F.substring("text", 1, 40).alias("title"), F.col("source").alias("location"), (d % 2 == 0).alias("remote"),
+        F.col("text").alias("title"), F.col("source").alias("location"), (d % 2 == 0).alias("remote"),
         _wrapped(F.col("text")).alias("description"), F.concat(F.lit("https://f.example/"), d).alias("url"),
         (F.lit(1_704_067_200) + d).alias("created_at"),
     ))

@@ -738,7 +738,7 @@ def _vendor():
 
 def _vendor_payloads(docs: DataFrame) -> DataFrame:
     """One posting per payload in the format of the document's vendor."""
-    title = F.substring("text", 1, 6)
+    title = F.col("text")
     of_vendor = {
         0: F.to_json(F.struct(F.array(F.struct(
             F.col("doc_id").alias("id"), title.alias("title"), F.col("lang").alias("company_name"),
