@@ -15,19 +15,19 @@ def connected(edges: DataFrame) -> DataFrame:
     them. The number of steps grows with the logarithm of the longest path, and no step holds the
     neighbours of a node together: they meet only in a minimum.
     """
-    current = settle(_ordered(edges.select("a", "b")))
+    current = _ordered(edges.select("a", "b"))
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # Larger neighbours go to the smallest node around.
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = _ordered(large)
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(small_least, "a")
         small = hung.select("b", "m").unionByName(hung.select(F.col("a").alias("b"), "m"))
         after = settle(_ordered(small.select(F.col("b").alias("a"), F.col("m").alias("b"))))
-        changed = after.join(current, ["a", "b"], "left_anti").union(current.join(after, ["a", "b"], "left_anti"))
-        if changed.isEmpty():
+        # Done when all hang on a root: no node has two edges, or is the end of one and has another.
+        ends = after.select("a", F.lit(1).alias("own")).unionByName(after.select(F.col("b").alias("a"), F.lit(0).alias("own")).distinct())
+        if ends.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("own")).filter("own > 0 and n > 1").isEmpty():
             break
         current = after
     roots = after.select(F.col("b").alias("node")).distinct()
