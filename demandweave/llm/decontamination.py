@@ -23,7 +23,7 @@ from demandweave.llm.order_minhash import _LOWER, shingle_hashes
 GRAM = 3
 SEED_SHARE = 0.7  # of the n-grams of an item, the rarest
 COMMON = 1e-5  # n-grams below this share of all words are seeds in any case
-AT_LEAST = 0.5
+AT_LEAST = 0.4  # chance alignments with common words stay below 0.3
 BLOCK_BYTES = 4 << 20
 
 _LETTERS = np.zeros(256, np.bool_)

@@ -129,7 +129,7 @@ def test_leaks(spark, rnd, prose):
         assert {r.doc_id: [x.item_id for x in r.leaks] for r in got if r.leaks} == {i: [k] for i, k in want.items()}
         for r in got:
             for x in r.leaks:
-                assert 0.5 <= x.score <= 1 and 0 <= x.first_word <= x.last_word
+                assert 0.4 <= x.score <= 1 and 0 <= x.first_word <= x.last_word
     exact = [r for r in got if r.doc_id in want and r.doc_id % 2 == 0]
     assert all(r.leaks[0].score == 1 and r.leaks[0].last_word - r.leaks[0].first_word + 1 == len(items[want[r.doc_id]][1].split()) for r in exact)
 
