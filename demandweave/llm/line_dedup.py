@@ -57,7 +57,8 @@ def dropped_lines(
     ranges = lines.repartitionByRange("h1", "h2", "d").sortWithinPartitions("h1", "h2", "d", "pos")
     per_doc = ranges.groupBy("h1", "h2", "d").agg(F.first("pos").alias("pos"))
     spread = per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("keeper"))
-    common = spread.filter(F.col("n") >= min_documents).select("h1", "h2", "keeper")
+    # Settled, so that the join can be split where a line is frequent.
+    common = settle(spread.filter(F.col("n") >= min_documents).select("h1", "h2", "keeper"))
     gone = lines.join(common, ["h1", "h2"]).filter("d <> keeper")
     words = gone.groupBy("d", "t", F.expr("pos div 64").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits"))
