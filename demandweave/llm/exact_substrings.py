@@ -173,7 +173,8 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     ``texts``: ref, salt, text. Equal (ref, salt) stand for equal texts.
     """
     runs = texts.mapInArrow(_runs(length), "digit1 long, digit2 long, ref long, place long")
-    shared = runs.groupBy("digit1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digit1")
+    # Keys are settled before they are joined: a join of two plain scans can be split where a key is frequent.
+    shared = settle(runs.groupBy("digit1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digit1"))
     survivors = settle(runs.join(shared, "digit1", "left_semi"))
 
     # Copies of a run are a class with one of them as its representative.
@@ -188,9 +189,10 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
         .select(*_covered(length))
     )
 
-    split = classes.groupBy("digit1").agg(F.count(F.lit(1)).alias("n"), F.min("copies").alias("least")).filter("n > 1 and least = 1")
+    split = settle(classes.groupBy("digit1").agg(F.count(F.lit(1)).alias("n"), F.min("copies").alias("least"))
+                   .filter("n > 1 and least = 1").select("digit1"))
     by_text = (
-        classes.join(split.select("digit1"), "digit1", "left_semi")
+        classes.join(split, "digit1", "left_semi")
         .groupBy("ref", F.expr(f"place >> {_SALT}").alias("salt"))
         .agg(F.collect_list(F.struct("digit1", "place", "copies")).alias("runs"))  # as many as the text has places
     )
@@ -202,8 +204,8 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     pieces = contexts.mapInArrow(_pieces(length, PIECE, False), _PIECE_ROW)
     by_core = pieces.groupBy("digit1", "piece", "core").agg(
         F.sum("copies").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).filter("n > 1")
-    alive = settle(pieces.join(by_core.select("digit1", "piece", "core", (F.col("a") != F.col("b")).alias("mixed")),
-                               ["digit1", "piece", "core"]))
+    by_core = settle(by_core.select("digit1", "piece", "core", (F.col("a") != F.col("b")).alias("mixed")))
+    alive = settle(pieces.join(by_core, ["digit1", "piece", "core"]))
     # A run with copies is covered as a whole already.
     twice = alive.groupBy("digit1", "piece", "core", "whole").agg(F.sum("copies").alias("n")).filter("n > 1")
     whole_pieces = alive.filter("copies = 1").join(
@@ -264,6 +266,6 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_i
         content.alias("text"), F.col(doc_id).cast("long").alias("doc_id"),
     )
     ranges = repeated_ranges(texts.select("ref", "salt", "text"), length)
-    by_text = ranges.distinct().groupBy("ref", "salt").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    by_text = settle(ranges.groupBy("ref", "salt").agg(F.collect_set(F.struct("start", "end")).alias("ranges")))
     return texts.join(by_text, ["ref", "salt"], "left").select("doc_id", "text", "ranges").mapInArrow(
         _cut_out, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string")
