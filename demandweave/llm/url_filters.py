@@ -75,10 +75,10 @@ def _bits(key: Column, blocks: int) -> tuple[Column, list[Column]]:
 
 
 def bloom_blocks(listed: DataFrame, url: str, blocks: int) -> DataFrame:
-    """The filter: block, w0 .. w7. Blocks that nothing is listed in are left out."""
+    """The filter: _block, _w0 .. _w7. Blocks that nothing is listed in are left out."""
     block, bits = _bits(F.col(url), blocks)
-    rows = listed.select(block.alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(bits)])
-    return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
+    rows = listed.select(block.alias("_block"), *[b.alias(f"_w{i}") for i, b in enumerate(bits)])
+    return rows.groupBy("_block").agg(*[F.bit_or(f"_w{i}").alias(f"_w{i}") for i in range(WORDS)])
 
 
 def judge_urls(
@@ -99,13 +99,13 @@ def judge_urls(
     blocks = max(1, -(-n * bits_per_url // (64 * WORDS)))
     block, bits = _bits(F.col("_url"), blocks)
     probed = (
-        pages.withColumn("_url", canonical(F.col(url))).withColumn("block", block)
-        .join(bloom_blocks(exact, "_url", blocks), "block", "left")
+        pages.withColumn("_url", canonical(F.col(url))).withColumn("_block", block)
+        .join(bloom_blocks(exact, "_url", blocks), "_block", "left")
     )
     hit = F.lit(True)
     for i, b in enumerate(bits):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(b) != 0)
-    probed = probed.withColumn("maybe_listed", F.coalesce(hit, F.lit(False))).drop("block", *[f"w{i}" for i in range(WORDS)])
+        hit = hit & (F.col(f"_w{i}").bitwiseAND(b) != 0)
+    probed = probed.withColumn("maybe_listed", F.coalesce(hit, F.lit(False))).drop("_block", *[f"_w{i}" for i in range(WORDS)])
     passed = probed.filter("maybe_listed").join(exact.withColumn("listed", F.lit(True)), "_url", "left")
     rest = probed.filter("not maybe_listed").withColumn("listed", F.lit(None).cast("boolean"))
     both = passed.unionByName(rest).drop("_url").withColumn("listed", F.coalesce("listed", F.lit(False)))
