@@ -9,9 +9,12 @@ shingles decides.
 Similarity: m shingles of one text aligned to equal ones of the other, in order and one to one,
 make m / (shingles of both - m); 0.8 with shingles of five words unless told otherwise.
 
-A bucket of n texts is not turned into pairs. Its members are compared with one of them, then
-the parts that are still apart are compared by one member each, until that finds no further link.
-Every round is linear in the number of memberships.
+A bucket of n texts is not turned into pairs at once. Its members are compared with one of them,
+then blocks of members (heads) with all others that are still apart, until each member of a
+bucket with several parts has been a head. So texts that share a bucket are compared, unless
+other links have put them in one class already: the classes are those of all pairs that share a
+bucket. A bucket that falls into one part soon costs little; one whose n texts are all unlike
+costs n * (n - 1) / 2 comparisons.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandweave.llm.arrays import WORD_BYTES, Chunk, Slices, chunks, mixed, words
@@ -31,6 +34,7 @@ SHINGLE = 5
 SKETCHES = 24
 PICKED = 3
 SIMILARITY = 0.8
+HOT = 50_000  # memberships of a bucket that one task may hold
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -212,6 +216,26 @@ def _node(prefix: str) -> Column:
     return F.struct(F.col(f"{prefix}1").alias("h1"), F.col(f"{prefix}2").alias("h2"))
 
 
+def _apart(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """The memberships of buckets that hold several parts, each with the part of its node."""
+    placed = members.drop("part").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    several = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q")
+    return placed.join(several.select("bucket"), "bucket")
+
+
+def _levelled(members: DataFrame) -> DataFrame:
+    """``members`` with the ``level`` in which a node is a head, in all its buckets at once.
+
+    Nodes with the most neighbours in their buckets come first. At most 8, 64, 512 ... nodes of a
+    bucket are heads up to level 0, 1, 2 ... (times its ``salts``, which split a hot bucket).
+    """
+    salted = members.withColumn("score", F.sum("n").over(Window.partitionBy("node"))).withColumn(
+        "salts", F.ceil(F.col("n") / HOT)).withColumn("salt", F.pmod(F.xxhash64("node"), "salts"))
+    place = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy(F.desc("score"), "node"))
+    level = ((F.length(F.bin(place)) - 1) / 3).cast("int")
+    return salted.withColumn("level", level).withColumn("level", F.max("level").over(Window.partitionBy("node"))).drop("n", "score")
+
+
 def text_classes(
     docs: DataFrame, shingle: int = SHINGLE, at_least: float = SIMILARITY, sketches: int = SKETCHES,
     picked: int = PICKED, doc_id: str = "doc_id", text: str = "text",
@@ -226,9 +250,9 @@ def text_classes(
             _sketches(shingle, sketches, picked), "c1 long, c2 long, n_words long, sketches array<long>")
         .dropDuplicates(["c1", "c2"])
     )
-    members = sketched.select("c1", "c2", F.explode("sketches").alias("bucket"))
+    members = sketched.select("c1", "c2", "n_words", F.explode("sketches").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("c1", "c2")).alias("r")).filter("n > 1")
-    members = settle(members.join(shared.select("bucket", "r"), "bucket"))
+    members = settle(members.join(shared, "bucket"))
     pairs = settle(_pairs(members.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"),
                                          F.col("r.c1").alias("b1"), F.col("r.c2").alias("b2"))))
     wanted = members.select("c1", "c2").distinct()
@@ -245,24 +269,29 @@ def text_classes(
 
     links = settle(verified(pairs).select(*_PAIR))
     parts = connected(links.select(_node("a").alias("a"), _node("b").alias("b")))
-    tested, round_no = pairs, 0
-    while True:
-        # One member for each part of a bucket; another one than in the round before.
-        round_no += 1
-        pick = F.max if round_no % 2 else F.min
-        node = F.struct(F.col("c1").alias("h1"), F.col("c2").alias("h2"))
-        placed = members.select("bucket", node.alias("node")).join(parts, "node", "left").select(
-            "bucket", "node", F.coalesce("part", "node").alias("part"))
-        heads = placed.groupBy("bucket", "part").agg(pick("node").alias("node"))
-        several = heads.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), pick("node").alias("r")).filter("n > 1")
-        more = heads.join(several.select("bucket", "r"), "bucket").select(
-            F.col("node.h1").alias("a1"), F.col("node.h2").alias("a2"), F.col("r.h1").alias("b1"), F.col("r.h2").alias("b2"))
-        more = settle(_pairs(more).join(tested, _PAIR, "left_anti"))
+    placed = members.select(
+        "bucket", "n", (F.col("n_words") - (shingle - 1)).alias("size"), _node("c").alias("node"),
+        F.struct(F.col("r.c1").alias("h1"), F.col("r.c2").alias("h2")).alias("r"))
+    apart, level = settle(_levelled(_apart(placed, parts))), 0
+    while (last := apart.agg(F.max("level")).first()[0]) is not None:
+        heads = apart.filter(F.col("level") == level).select(
+            "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+            F.col("node").alias("a"), F.col("part").alias("p"), F.col("size").alias("n"))
+        # A pair meets when the first of both is a head; those with r have been compared.
+        more = heads.join(apart.filter(F.col("level") >= level), ["bucket", "salt"]).filter(
+            (F.col("part") != F.col("p")) & (F.col("node") != F.col("r")) & (F.col("a") != F.col("r"))
+            & (F.least("size", "n") >= F.greatest("size", "n") * at_least))
+        more = settle(_pairs(more.select(
+            F.col("a.h1").alias("a1"), F.col("a.h2").alias("a2"), F.col("node.h1").alias("b1"), F.col("node.h2").alias("b2"))))
         found = settle(verified(more).select(*_PAIR))
-        if found.isEmpty():
+        apart = apart.filter(F.col("level") > level)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            parts = connected(links.select(_node("a").alias("a"), _node("b").alias("b")))
+            apart = settle(_apart(apart, parts))
+        if level == last:
             break
-        links, tested = links.unionByName(found), tested.unionByName(more)
-        parts = connected(links.select(_node("a").alias("a"), _node("b").alias("b")))
+        level += 1
 
     node = F.struct(F.col("c1").alias("h1"), F.col("c2").alias("h2"))
     ids = keyed.select("doc_id", "c1", "c2")

@@ -92,6 +92,33 @@ def test_large_group_of_near_copies(spark, rnd, prose):
     assert [r.doc_id for r in got if r.kept and r.doc_id < 1000] == [0]
 
 
+def test_star_of_copies_that_only_the_original_links(spark, rnd):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(320):
+        copy = list(base)
+        for quarter in range(4):  # each word replaced takes five shingles
+            copy[50 * quarter + rnd.randint(5, 44)] = f"new{i}.{quarter}"
+        texts.append(" ".join(copy))
+    hashes = [np.array([hash(tuple(t.split()[i : i + 5])) & 0xFFFFFFFF for i in range(196)], np.uint32) for t in texts]
+    links = [(i, j) for i, j in combinations(range(len(texts)), 2) if similarity(hashes[i], hashes[j], 0.8)]
+    assert sum(i == 0 for i, _ in links) == 320 and len(links) < 1.2 * 320
+    rows = [(1000 - i, t) for i, t in enumerate(texts)]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert {(r.class_id, r.class_size) for r in got} == {(680, 321)} and sum(r.kept for r in got) == 1
+
+
+def test_every_pair_of_a_bucket_is_compared(spark, rnd, prose, monkeypatch):
+    """Buckets that many tasks hold, with stars and unlike texts in one bucket each."""
+    monkeypatch.setattr(order_minhash, "HOT", 3)
+    shared, rows = prose(120), []
+    for star in range(6):
+        base = f"{shared} {prose(60)}"
+        rows += [(100 * star + k, edited(rnd, base, 4) if k else base) for k in range(14)]
+    got = sorted((r.doc_id, r.class_id, r.class_size) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == brute_classes(rows)
+
+
 def test_shared_passage_is_no_copy(spark, prose):
     shared = prose(50)
     rows = [(i, f"{prose(100)} {shared} {prose(60)}") for i in range(120)]
