@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from demandweave.llm.queries import LISTED_HOSTS, URL_RULES
 from demandweave.llm.quality_rules import RULES, STOP_WORDS
+from demandweave.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -116,8 +117,68 @@ def _line_dedup() -> str:
     FROM m GROUP BY doc_id"""
 
 
+_FILTER_AUDIT = r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    f AS (
+        SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+               100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+               coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e,
+               EXISTS (FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1) AS good,
+               EXISTS (FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1) AS toxic FROM d),
+    s AS (
+        SELECT part, good, toxic, concat(CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END,
+                                         CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END) AS fails FROM f),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    orders AS (
+        SELECT p.x || q.x || r.x || s.x || u.x AS o FROM letters p, letters q, letters r, letters s, letters u
+        WHERE len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5),
+    steps AS (SELECT o, step, o[step] AS x FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+    placed AS (
+        SELECT part, good, toxic, fails, o, coalesce(list_min(list_transform(string_split(fails, ''),
+               lambda x: CASE WHEN x = '' THEN NULL ELSE instr(o, x) END)), 9) AS place FROM s, orders),
+    counted AS (
+        SELECT part, o, step, x, count(*) FILTER (place > step) AS kept, count(*) FILTER (place = step) AS removed,
+               count(*) FILTER (place < step AND contains(fails, x)) AS redundant, count(*) FILTER (fails = x) AS unique_fails,
+               count(*) FILTER (place = step AND good) AS good_lost, count(*) FILTER (place = step AND toxic) AS toxic_lost
+        FROM placed JOIN steps USING (o) GROUP BY part, o, step, x)
+    SELECT part, o AS filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+    FROM counted"""
+
+
+def _vector_codes() -> str:
+    distance = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = ""
+    for i in range(ROUNDS + 1):
+        steps += f""",
+    a{i} AS (
+        SELECT vec_id, label, p, x, min({{'d': {distance}, 'k': k}}) AS best
+        FROM parts JOIN c{i} USING (p) GROUP BY ALL),
+    s{i} AS (
+        SELECT p, k, place, sum(y)::BIGINT AS s, count(*) AS n
+        FROM (SELECT p, best.k AS k, unnest(x) AS y, generate_subscripts(x, 1) AS place FROM a{i}) GROUP BY ALL),
+    m{i} AS (SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY place) AS moved FROM s{i} GROUP BY ALL),
+    c{i + 1} AS (SELECT p, k, coalesce(moved, c) AS c FROM c{i} LEFT JOIN m{i} USING (p, k))"""
+    return f"""
+    WITH kept AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    cut AS (SELECT *, len(v) // {PARTS} AS w, unnest(range({PARTS})) AS p FROM kept),
+    parts AS (SELECT vec_id, label, p, v[p * w + 1:(p + 1) * w] AS x FROM cut),
+    first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept QUALIFY k < {ENTRIES}),
+    c0 AS (SELECT p, k, x AS c FROM parts JOIN first USING (vec_id)){steps},
+    coded AS (
+        SELECT vec_id, label, string_agg(printf('%02x', best.k), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error
+        FROM a{ROUNDS} GROUP BY ALL),
+    books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{ROUNDS})
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, books"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": _quality_rules(), "op4_url_filters": _url_filters(),
         "op8_preference_format": _PREFERENCE, "op9_line_dedup": _line_dedup(),
+        "op12_filter_audit": _FILTER_AUDIT, "op13_vector_codes": _vector_codes(),
     }

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandweave.llm import (
-    chat_format, decontamination, exact_substrings, license_scan, line_dedup, order_minhash, packing, quality_classifier,
-    quality_rules, url_filters,
+    chat_format, decontamination, exact_substrings, filter_audit, language_id, license_scan, line_dedup, order_minhash, packing,
+    quality_classifier, quality_rules, url_filters, vector_codes,
 )
 from demandweave.llm.url_filters import UrlRule
 
@@ -81,6 +81,21 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return marked.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify_languages(_table(spark, folder, "documents").select("doc_id", "text", "lang"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit_filters(docs, _table(spark, folder, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vector_codes.compress_vectors(_table(spark, folder, "embeddings"))
+    return coded.select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Query]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

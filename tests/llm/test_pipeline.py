@@ -37,4 +37,4 @@ def test_clean_documents_stay(spark):
 
 def test_one_query_for_each_operator():
     numbers = [int(name[2:].split("_")[0]) for name in queries()]
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
