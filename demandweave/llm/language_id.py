@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandweave.llm.staging import settle
+
 DICTIONARY_BYTES = 32 << 10  # of a language
 TOTAL_BYTES = 64 << 20  # of all dictionaries: with more than 2,048 languages each gets less
 PIECE = 1024  # characters that one document gives to a dictionary
@@ -51,15 +53,21 @@ def fit_dictionaries(
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     known = docs.select(F.col(lang).cast("string").alias("lang"), content.alias("text"), F.xxhash64(content).alias("h")).filter("lang IS NOT NULL")
     # A share of the hashes that holds about 4 * sample texts, so no task passes on more than its part.
-    texts = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    # Settled tables are small files here, so Spark knows that it may broadcast them.
+    texts = settle(known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")))
     share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.greatest("n", F.lit(1)))
-    few = known.join(texts, "lang").filter(F.pmod(F.xxhash64(F.lit(7), "h"), F.lit(1 << 32)) < share * (1 << 32))
-    words = few.select("lang", "h", letters_of(F.col("text")).alias("w"))
+    few = known.select("lang", "h").join(texts, "lang").filter(F.pmod(F.xxhash64(F.lit(7), "h"), F.lit(1 << 32)) < share * (1 << 32))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    keys = settle(few.select("lang", "h").distinct().withColumn("place", place).filter(F.col("place") <= sample))
+    words = known.join(keys, ["lang", "h"]).select("lang", "place", "h", letters_of(F.col("text")).alias("w"))
     start = F.pmod("h", F.greatest(F.length("w") - PIECE + 1, F.lit(1))) + 1
-    pieces = words.filter("w <> ''").select("lang", "h", F.col("w").substr(start.cast("int"), F.lit(PIECE)).alias("piece"))
-    pieces = pieces.groupBy("lang", "h").agg(F.min("piece").alias("piece"))  # copies of a text give one piece
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
-    chosen = pieces.withColumn("place", place).filter(F.col("place") <= sample)
+    pieces = words.filter("w <> ''").select("lang", "place", F.col("w").substr(start.cast("int"), F.lit(PIECE)).alias("piece"))
+    chosen = settle(pieces.groupBy("lang", "place").agg(F.min("piece").alias("piece")))  # copies of a text give one piece
+    each = dictionary_bytes
+    languages = chosen.select("lang").distinct().count()
+    if languages * each > TOTAL_BYTES:
+        each = max(256, TOTAL_BYTES // languages)
+        chosen = chosen.filter(F.col("place") <= max(1, 2 * each // PIECE))
     held: dict[str, list[bytes]] = {}
     each = dictionary_bytes
     languages = chosen.select("lang").distinct().count()
