@@ -101,28 +101,39 @@ def decide(arrivals: DataFrame, existing: DataFrame, arrivals_per_task: int = AR
     )
 
 
-def reconcile(
-    existing: DataFrame,
-    fetched: DataFrame,
-    succeeded_boards: DataFrame,
-    now: datetime | Column,
-    arrivals_per_task: int = ARRIVALS_PER_TASK,
+def plan_actions(
+    existing: DataFrame, fetched: DataFrame, succeeded_boards: DataFrame, arrivals_per_task: int = ARRIVALS_PER_TASK,
 ) -> DataFrame:
-    """New state of every job with the action that led to it.
+    """(source, source_job_id, job_id, action) for each key that a run touches: insert, update, skip or
+    deactivate. Of the jobs on record only keys, hashes and flags are read, no texts."""
+    narrow = fetched.select(*KEY, "seq", "company", "title", "location")
+    decided = decide(with_hash(run_dedup(narrow)), existing, arrivals_per_task).select(*KEY, F.col("decision").alias("action"))
+    boards = succeeded_boards.select("source", "board_token").distinct()
+    listed = existing.filter("is_active").select(*KEY, "board_token").join(boards, ["source", "board_token"], "left_semi")
+    gone = listed.join(decided, KEY, "left_anti").select(*KEY, F.lit("deactivate").alias("action"))
+    ids = existing.select(*KEY, "job_id")
+    return decided.unionByName(gone).join(ids, KEY, "left").select(
+        *KEY, F.coalesce("job_id", make_job_id(F.col("source"), F.col("source_job_id"))).alias("job_id"), "action")
+
+
+def apply_actions(
+    existing: DataFrame, fetched: DataFrame, actions: DataFrame, now: datetime | Column, slots: int | None = None,
+) -> DataFrame:
+    """New state of the jobs in ``existing`` and of those that ``actions`` (``plan_actions``) brings.
 
-    Columns: those of jobs, and ``action``: insert, update, deactivate, keep, or skip (fetched
-    but not accepted: not part of the new state; see ``jobs_of``).
+    Each side meets the actions before both are joined, so nothing is exchanged after that join.
+    ``slots``: deal the fetched postings out by key into so many partitions, as ``existing`` is stored.
     """
     at = now if isinstance(now, Column) else F.lit(now)
-    first = with_hash(run_dedup(fetched))
-    decisions = decide(first, existing, arrivals_per_task).select(*KEY, "decision")
-    seen = first.select(*KEY, *FIELDS).join(decisions, KEY).alias("f")
-    boards = succeeded_boards.select("source", "board_token").distinct().withColumn("board_read", F.lit(True))
-    old = existing.join(boards, ["source", "board_token"], "left").alias("e")
+    arrivals = fetched if slots is None else fetched.repartition(slots, *KEY)
+    seen = with_hash(run_dedup(arrivals)).select(*KEY, *FIELDS).join(
+        actions.filter("action <> 'deactivate'").select(*KEY, "job_id", F.col("action").alias("decision")), KEY).alias("f")
+    gone_keys = actions.filter("action = 'deactivate'").select(*KEY, F.lit(True).alias("gone"))
+    old = existing.join(gone_keys, KEY, "left").alias("e")
     both = old.join(seen, KEY, "full")
 
     on_record, fetched_now = F.col("e.job_id").isNotNull(), F.col("f.decision").isNotNull()
-    gone = ~fetched_now & F.col("e.is_active") & F.coalesce(F.col("board_read"), F.lit(False))
+    gone = ~fetched_now & F.coalesce(F.col("gone"), F.lit(False))
     action = (
         F.when(fetched_now, F.col("f.decision")).when(gone, F.lit("deactivate")).otherwise(F.lit("keep"))
     )
@@ -134,8 +145,7 @@ def reconcile(
 
     f = {name: field(name) for name in FIELDS}
     return both.select(
-        F.when(on_record, F.col("e.job_id"))
-        .otherwise(make_job_id(F.col("source"), F.col("source_job_id"))).alias("job_id"),
+        F.when(on_record, F.col("e.job_id")).otherwise(F.col("f.job_id")).alias("job_id"),
         "source", "source_job_id", f["board_token"], f["company"], f["title"], f["location"],
         f["is_remote"], f["description"], f["apply_url"], f["posted_at"], f["dedup_hash"],
         F.when(on_record, F.col("e.first_seen_at")).otherwise(at).alias("first_seen_at"),
@@ -146,6 +156,22 @@ def reconcile(
     )
 
 
+def reconcile(
+    existing: DataFrame,
+    fetched: DataFrame,
+    succeeded_boards: DataFrame,
+    now: datetime | Column,
+    arrivals_per_task: int = ARRIVALS_PER_TASK,
+) -> DataFrame:
+    """New state of every job with the action that led to it, in one plan.
+
+    Columns: those of jobs, and ``action``: insert, update, deactivate, keep, or skip (fetched
+    but not accepted: not part of the new state; see ``jobs_of``).
+    """
+    actions = plan_actions(existing, fetched, succeeded_boards, arrivals_per_task)
+    return apply_actions(existing, fetched, actions, now)
+
+
 def jobs_of(reconciled: DataFrame) -> DataFrame:
     """The new jobs table."""
     return reconciled.filter("action <> 'skip'").drop("action")

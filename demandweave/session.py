@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +67,27 @@ def stage(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """A function that stores a frame as a table in the shared folder, by name, and reads it back.
+
+    ``key``, ``buckets``: cut the table into buckets of the key, so that it joins without an exchange.
+    The tables go when the block ends; they are Spark's own (managed) tables of a database.
+    """
+    database = f"demandweave_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{shared_folder(spark)}'")
+
+    def keep(df: DataFrame, name: str, key: Sequence[str] = (), buckets: int = 0) -> DataFrame:
+        out = df.repartition(buckets, *key).write.bucketBy(buckets, *key) if key else df.write
+        out.saveAsTable(f"{database}.{name}")
+        return spark.table(f"{database}.{name}")
+
+    try:
+        yield keep
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Hand the rows of a scan with too few splits to all cores, for work heavy on the CPU.
 
