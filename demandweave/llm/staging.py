@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
@@ -27,3 +29,15 @@ def settle(df: DataFrame) -> DataFrame:
         if before is not None:
             spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with as many _ behind it as it takes to be none of ``taken`` (in any case)."""
+    held = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
