@@ -37,6 +37,7 @@ PIECE = 16
 # A place in one long: 16 bits of the text's hash, start of the run, windows in it, offset of the anchor.
 _SALT, _START, _COUNT = 47, 16, 8
 _START_MASK = (1 << (_SALT - _START)) - 1
+_PLACE_BITS = _SALT - _START  # of a place in a chunk
 
 
 def anchor_runs(chunk: Chunk, length: int) -> tuple[np.ndarray, ...]:
@@ -47,7 +48,7 @@ def anchor_runs(chunk: Chunk, length: int) -> tuple[np.ndarray, ...]:
     n = len(data)
     if n < length:
         return (none,) * 6
-    bits = n.bit_length()
+    bits = _PLACE_BITS  # the same in every chunk: equal windows take equal anchors wherever they stand
     key = np.ndarray((n - SEED_BYTES + 1,), "<u8", data, 0, (1,)) * np.uint64(0x9E3779B97F4A7C15)
     key ^= key >> np.uint64(32)
     key *= np.uint64(0xD6E8FEB86659FD93)
@@ -261,7 +262,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_i
         raise ValueError("length must be from 16 to 255")
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(content)).alias("ref"),
+        F.xxhash64(F.col(doc_id).cast("long"), content).alias("ref"),  # with salt, 80 bits for a row's doc_id and text
         F.shiftrightunsigned(F.xxhash64(F.lit(7), content), 48).alias("salt"),
         content.alias("text"), F.col(doc_id).cast("long").alias("doc_id"),
     )

@@ -76,3 +76,17 @@ def test_empty_table_and_extra_columns(spark):
 def test_length_is_checked(spark):
     with pytest.raises(ValueError):
         dedup_substrings(spark.createDataFrame([], SCHEMA), 300)
+
+
+def test_unlike_texts_under_one_doc_id(spark):
+    """Texts of one doc_id are told apart by more than the 16 bits of their hash that a place has room for."""
+    from pyspark.sql import functions as F
+    rnd = random.Random(5)
+    pool = [(7, "".join(rnd.choice("abcdefgh ") for _ in range(512))) for _ in range(3000)]
+    keyed = spark.createDataFrame(pool, SCHEMA).withColumn("k", F.shiftrightunsigned(F.xxhash64(F.lit(7), "text"), 48)).collect()
+    by: dict[int, list[str]] = {}
+    for r in keyed:
+        by.setdefault(r.k, []).append(r.text)
+    a, b = next(v[:2] for v in by.values() if len(v) > 1)
+    rows = [(7, a), (7, b), (8, a[100:400]), (None, b[:50]), (7, a[:10])]
+    assert found(spark, rows) == expected(rows)
