@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandweave.llm.staging import settle
+
 BITS_PER_URL = 16
 WORDS = 8  # of 64 bits in a block; a URL sets one bit in each
 
@@ -74,11 +76,12 @@ def _bits(key: Column, blocks: int) -> tuple[Column, list[Column]]:
     return F.pmod(place, F.lit(blocks)), [F.call_function("shiftleft", one, s) for s in shift]
 
 
-def bloom_blocks(listed: DataFrame, url: str, blocks: int) -> DataFrame:
-    """The filter: _block, _w0 .. _w7. Blocks that nothing is listed in are left out."""
+def bloom_blocks(listed: DataFrame, url: str, blocks: int, name: str = "block") -> DataFrame:
+    """The filter: ``name`` and the array words of its 64-bit words. Blocks that nothing is listed in are left out."""
     block, bits = _bits(F.col(url), blocks)
-    rows = listed.select(block.alias("_block"), *[b.alias(f"_w{i}") for i, b in enumerate(bits)])
-    return rows.groupBy("_block").agg(*[F.bit_or(f"_w{i}").alias(f"_w{i}") for i in range(WORDS)])
+    rows = listed.select(block.alias(name), *[b.alias(f"w{i}") for i, b in enumerate(bits)])
+    words = [F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]
+    return rows.groupBy(name).agg(*words).select(name, F.array(*[f"w{i}" for i in range(WORDS)]).alias("words"))
 
 
 def judge_urls(
@@ -89,28 +92,30 @@ def judge_urls(
 
     The verdict is the rule's; where none fits, URLs of the list are blocked and others allowed.
 
-    * NULL and texts without :// have an empty host and path, are never listed, hence allowed.
+    * NULL and texts without :// have an empty host and path, are never listed, hence allowed; they
+      look at no block.
     * URLs of both sides are compared in canonical form; the list may repeat them or hold NULLs.
     * One row per row of ``pages``; its other columns stay, but for those named like a result.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "listed", "maybe_listed")
-    exact = listed.select(canonical(F.col(listed_url)).alias("_url")).filter("_url is not null").distinct()
+    own, page = pages.columns, [F.col(f"`{c}`") for c in pages.columns]
+    # The page is one column, so no name of it meets those in use here.
+    exact = settle(listed.select(canonical(F.col(listed_url)).alias("key")).filter("key is not null").distinct())
     n = exact.count()
     blocks = max(1, -(-n * bits_per_url // (64 * WORDS)))
-    block, bits = _bits(F.col("_url"), blocks)
-    probed = (
-        pages.withColumn("_url", canonical(F.col(url))).withColumn("_block", block)
-        .join(bloom_blocks(exact, "_url", blocks), "_block", "left")
-    )
+    probe = pages.select(F.struct(*page).alias("page"), canonical(F.col(f"`{url}`")).alias("key"), F.col(f"`{url}`").cast("string").alias("url"))
+    block, bits = _bits(F.col("key"), blocks)
+    filters = settle(bloom_blocks(exact, "key", blocks))
+    probed = probe.withColumn("block", F.when(F.col("key").isNotNull(), block)).join(filters, "block", "left")
     hit = F.lit(True)
     for i, b in enumerate(bits):
-        hit = hit & (F.col(f"_w{i}").bitwiseAND(b) != 0)
-    probed = probed.withColumn("maybe_listed", F.coalesce(hit, F.lit(False))).drop("_block", *[f"_w{i}" for i in range(WORDS)])
-    passed = probed.filter("maybe_listed").join(exact.withColumn("listed", F.lit(True)), "_url", "left")
-    rest = probed.filter("not maybe_listed").withColumn("listed", F.lit(None).cast("boolean"))
-    both = passed.unionByName(rest).drop("_url").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    both = both.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    both = both.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    own = F.when(F.col("listed"), "block").otherwise("allow")
-    return both.select(*[F.col(f"`{c}`") for c in pages.columns], "host", "path", F.col("_rule.rule").alias("rule"),
-                       F.coalesce("_rule.verdict", own).alias("verdict"), "listed", "maybe_listed")
+        hit = hit & (F.get("words", F.lit(i)).bitwiseAND(b) != 0)
+    maybe = F.coalesce(hit, F.lit(False))
+    probed = probed.select("page", "url", maybe.alias("maybe_listed"), F.when(maybe, F.col("key")).alias("key"))
+    both = probed.join(exact.withColumn("on_list", F.lit(True)), "key", "left")
+    listed_ = F.coalesce("on_list", F.lit(False))
+    judged = both.select("page", "maybe_listed", listed_.alias("listed"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    judged = judged.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
+    verdict = F.coalesce("found.verdict", F.when(F.col("listed"), "block").otherwise("allow"))
+    return judged.select(*[F.col("page").getField(c).alias(c) for c in own], "host", "path", F.col("found.rule").alias("rule"),
+                         verdict.alias("verdict"), "listed", "maybe_listed")
