@@ -21,20 +21,21 @@ class Notice(NamedTuple):
     label: str
     phrase: str  # lower-case words, one space between
     edits: int
+    exact: tuple[str, ...] = ()  # words that tell it from other licences: they must stand, in this order, as they are
 
 
 # Wording of well-known licences, as lower-case words.
 NOTICES = (
     Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy", 8),
-    Notice("mit", "licensed under the mit license", 3),
-    Notice("apache-2", "licensed under the apache license version 2 0", 4),
-    Notice("cc-by-nc", "licensed under cc by nc 4 0", 2),
-    Notice("cc-by-nc", "creative commons attribution noncommercial 4 0 international", 5),
-    Notice("cc-by", "creative commons attribution 4 0 international", 4),
-    Notice("gpl-3", "gnu general public license version 3", 3),
-    Notice("mpl-2", "mozilla public license version 2 0", 3),
+    Notice("mit", "licensed under the mit license", 3, ("mit",)),
+    Notice("apache-2", "licensed under the apache license version 2 0", 4, ("apache", "version 2")),
+    Notice("cc-by-nc", "licensed under cc by nc 4 0", 2, ("cc by nc",)),
+    Notice("cc-by-nc", "creative commons attribution noncommercial 4 0 international", 5, ("attribution noncommercial",)),
+    Notice("cc-by", "creative commons attribution 4 0 international", 4, ("attribution 4",)),
+    Notice("gpl-3", "gnu general public license version 3", 3, ("gnu general", "version 3")),
+    Notice("mpl-2", "mozilla public license version 2 0", 3, ("mozilla", "version 2")),
     Notice("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 8),
-    Notice("isc", "permission to use copy modify and or distribute this software for any purpose", 7),
+    Notice("isc", "permission to use copy modify and or distribute this software for any purpose", 7, ("and or",)),
     Notice("all-rights-reserved", "all rights reserved", 1),
 )
 # Phrases that are found as consecutive words.
@@ -68,11 +69,23 @@ def pieces(phrase: str, edits: int) -> list[tuple[int, str]]:
     return [(a, phrase[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def holds_in_order(words: str, parts: Sequence[str]) -> bool:
+    """Whether the words hold all parts, one behind the other."""
+    padded, at = f" {words} ", 0
+    for part in parts:
+        at = padded.find(f" {part} ", at)
+        if at < 0:
+            return False
+        at += len(part) + 1
+    return True
+
+
 class FuzzyNotices:
     def __init__(self, notices: Sequence[Notice]):
         self.notices = notices
         # The best match in a window, with as few edits as can be.
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(n.phrase)}){{e<={n.edits}}}") for n in notices]
+        # It starts and ends with a word, so an edit can't cut one in two.
+        self.patterns = [regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(n.phrase)}){{e<={n.edits}}}(?![^ ])") for n in notices]
         at: dict[str, list[tuple[int, int]]] = {}
         for i, n in enumerate(notices):
             for offset, piece in pieces(n.phrase, n.edits):
@@ -83,7 +96,7 @@ class FuzzyNotices:
         self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(notice, start, end, edits) of the places where a notice stands."""
+        """(notice, start, end, edits) of the places where a notice stands; those of one notice don't overlap."""
         windows: dict[int, list[list[int]]] = {}
         for end, (size, owners) in self.automaton.iter(text):
             for i, offset in owners:
@@ -96,12 +109,22 @@ class FuzzyNotices:
                     own.append([low, high])
         found = []
         for i, spans in windows.items():
-            for low, high in spans:
-                at = low
-                while match := self.patterns[i].search(text, at, high):
+            rest = [(low, self._word_end(text, high)) for low, high in spans]
+            while rest:
+                low, high = rest.pop()
+                match = self.patterns[i].search(text, low, high)
+                if match is None:
+                    continue
+                if holds_in_order(match.group().strip(), self.notices[i].exact):
                     found.append((i, match.start(), match.end(), sum(match.fuzzy_counts)))
-                    at = max(match.end(), match.start() + 1)
-        return found
+                # The best match comes first; others may stand before and behind it.
+                rest += [(low, match.start()), (max(match.end(), match.start() + 1), high)]
+        return sorted(found)
+
+    @staticmethod
+    def _word_end(text: str, at: int) -> int:
+        end = text.find(" ", at)
+        return len(text) if end < 0 else end
 
 
 def _scan(notices: Sequence[Notice], phrases: Sequence[tuple[str, str]]):
@@ -144,7 +167,8 @@ def scan_licenses(
     spans: label, first word, word behind the last, edits of each notice found.
 
     * NULL and '' have no words, no labels and a score of 0. Whole texts are read.
-    * Overlapping places count each. Repeated rows are judged alike. Other columns are ignored.
+    * Edits never fall on the words that name the licence, its variant or version (``Notice.exact``).
+    * Overlapping places of phrases count each. Repeated rows are judged alike. Other columns are ignored.
     """
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(
         _scan(tuple(notices), tuple(phrases)),
