@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandweave.llm.quality_rules import let
+from demandweave.llm.staging import settle
 
 CAPACITY = 2048  # words
 SHARD_ROWS = 8192
@@ -99,7 +100,6 @@ def _pack_shard(capacity: int):
         # Rows in an order that does not depend on how they came here; the key is the place in it.
         rows = sorted(zip(*columns), key=lambda r: (r[0] is None, r[0] or 0, r[2] or 0, r[1] or "", r[3]))
         placed = pack(((i, r[1], r[2], r[3]) for i, r in enumerate(rows)), capacity)
-        placed += [(i, 0, 0, 0, None, None) for i, r in enumerate(rows) if not r[3]]
         keys, piece, first, size, bins, offset = list(zip(*placed)) or [[]] * 6
         out = {
             "doc_id": pa.array([rows[i][0] for i in keys], pa.int64()), "piece": pa.array(piece, pa.int64()),
@@ -137,13 +137,23 @@ def pack_documents(
     * A text without words (NULL, '') has one row with n_words 0 and no bin.
     * A NULL source or cluster conflicts with nothing.
     * Repeated rows are packed each; with equal texts they are one cluster.
-    * Rows are packed in shards of about ``shard_rows`` by a hash of doc_id and text; bins do not cross shards.
+    * Rows are packed in shards of about ``shard_rows``, by a hash of doc_id, text and a number among
+      equal rows, so that also those are dealt out; bins do not cross shards.
     """
-    shards = max(1, -(-docs.count() // shard_rows))
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col(doc_id), content), F.lit(shards)).cast("long").alias("shard"), F.col(doc_id).cast("long").alias("doc_id"),
-        F.col(source).cast("string").alias("source"),
+        F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(content).alias("h"), F.col(source).cast("string").alias("source"),
         (content_cluster(content) if cluster is None else cluster.cast("long")).alias("cluster"), word_count(content).alias("n_words"))
-    return rows.groupBy("shard").applyInArrow(
+    # Equal rows are counted before they are dealt out. Settled: texts are read once.
+    rows = settle(rows.groupBy("doc_id", "h", "source", "cluster", "n_words").agg(F.count(F.lit(1)).alias("times")))
+    some = rows.filter("n_words > 0")
+    shards = max(1, -(-(some.agg(F.sum("times")).first()[0] or 0) // shard_rows))
+    each = some.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    dealt = each.select(
+        F.pmod(F.xxhash64("doc_id", "h", "time"), F.lit(shards)).cast("long").alias("shard"), "doc_id", "source", "cluster", "n_words")
+    packed = dealt.groupBy("shard").applyInArrow(
         _pack_shard(capacity), "doc_id long, piece long, first_word long, n_words long, bin_id long, bin_offset long, source string, cluster long")
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    empty = rows.filter("n_words = 0").withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(
+        "doc_id", zero.alias("piece"), zero.alias("first_word"), "n_words", none.alias("bin_id"), none.alias("bin_offset"), "source", "cluster")
+    return packed.unionByName(empty)
