@@ -19,11 +19,13 @@ from pyspark.sql import types as T
 
 from demandweave.llm.arrays import Chunk, Slices, chunks, words
 from demandweave.llm.order_minhash import _LOWER, shingle_hashes
+from demandweave.llm.staging import free_names
 
 GRAM = 3
 SEED_SHARE = 0.7  # of the n-grams of an item, the rarest
 COMMON = 1e-5  # n-grams below this share of all words are seeds in any case
 AT_LEAST = 0.4  # chance alignments with common words stay below 0.3
+SHORT = 6  # words that must match in any case; a shorter item must match as a whole
 BLOCK_BYTES = 4 << 20
 
 _LETTERS = np.zeros(256, np.bool_)
@@ -135,22 +137,23 @@ def align_seeds(word: np.ndarray, places: np.ndarray, item: np.ndarray, offset:
         m, pad = int(size[i]), int(size[i]) // 2 + 2
         low, high = max(0, int(diagonal[a]) - pad), min(len(word), int(diagonal[b - 1]) + m + pad)
         text, own = word[low:high], items.word[items.bounds[i] : items.bounds[i + 1]]
-        if np.isin(own, text).sum() < at_least * m:
+        need = max(at_least * m, min(m, SHORT))
+        if np.isin(own, text).sum() < need:
             continue  # the score is at most the number of words of the item that the text has
         score, first, last = smith_waterman(text, own)
-        if score >= at_least * m and score / m > best.get(i, (0,))[0]:
+        if score >= need and score / m > best.get(i, (0,))[0]:
             best[i] = (score / m, low + first, low + last)
     for i, (score, first, last) in sorted(best.items()):
         yield i, score, first, last
 
 
-def _find(items: Items, at_least: float, names: list[str]):
+def _find(items: Items, at_least: float, names: list[str], text_name: str, found_name: str):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Where each hash stands in the sorted list, and how often.
         distinct, first, times = np.unique(items.gram, return_index=True, return_counts=True)
         for batch in batches:
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for chunk in chunks(batch.column("_text")):
+            for chunk in chunks(batch.column(text_name)):
                 word, bounds = word_hashes(chunk)
                 gram, starts = shingle_hashes(word, bounds, GRAM)
                 hit, at = _looked_up(distinct, gram)
@@ -167,7 +170,7 @@ def _find(items: Items, at_least: float, names: list[str]):
                     for i, score, low, high in align_seeds(text, place[own], items.item[entry[own]], items.offset[entry[own]], items, at_least):
                         found[chunk.first + d].append({"item_id": items.ids[i], "score": score, "first_word": low, "last_word": high})
             leak = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, leak)], [*names, "_found"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, leak)], [*names, found_name])
 
     return task
 
@@ -190,7 +193,8 @@ def with_leaks(
     A leak has item_id, score (of the alignment, over the words of the item: 1 for an exact copy),
     first_word and last_word of the best place. ``at_least`` is the least score.
 
-    * Items with fewer than three words (NULL and '' have none) are never found.
+    * Items with fewer than three words (NULL and '' have none) are never found; of those with fewer than
+      ``SHORT`` only exact copies; of longer ones ``SHORT`` words at least must match.
     * NULL and empty texts hold nothing. Whole texts are read; no number of leaks is capped.
     * Equal items are found each; repeated rows are judged alike.
     * One row per row of ``docs``; its columns stay, but for one named leaks.
@@ -208,9 +212,10 @@ def with_leaks(
         count = np.array([n.get(i, 0) for i in range(len(gram))], np.int64)[inverse] if len(gram) else np.zeros(0, np.int64)
         seed = choose_seeds(block, count, n.get(-1, 0))
         seeds = block._replace(gram=block.gram[seed], item=block.item[seed], offset=block.offset[seed])
-        own = [*names, "leaks"]
-        with_text = out.withColumn("_text", F.col(f"`{text}`").cast("string"))
-        kind = T.StructType([*with_text.schema.fields, T.StructField("_found", out.schema["leaks"].dataType)])
-        out = with_text.mapInArrow(_find(seeds, at_least, [*own, "_text"]), kind).select(
-            *[F.col(f"`{c}`") for c in names], F.concat("leaks", "_found").alias("leaks"))
+        words_of, found = free_names([*names, "leaks"], "words_of", "found")
+        own = [*names, "leaks", words_of]
+        with_text = out.withColumn(words_of, F.col(f"`{text}`").cast("string"))
+        kind = T.StructType([*with_text.schema.fields, T.StructField(found, out.schema["leaks"].dataType)])
+        out = with_text.mapInArrow(_find(seeds, at_least, own, words_of, found), kind).select(
+            *[F.col(f"`{c}`") for c in names], F.concat("leaks", found).alias("leaks"))
     return out

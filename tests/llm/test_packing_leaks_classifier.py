@@ -173,3 +173,49 @@ def test_held_out_accuracy(spark, folder):
     scored = score_quality(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
     rows = scored.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").collect()
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
+
+
+def test_short_items_with_common_words_are_no_leak(spark):
+    docs = spark.createDataFrame([(1, "this is one of the best places to go"), (2, "he was one of the many here"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one of the many"), (2, "one of the seven cities"), (3, "one of the best places in the whole wide world to see")], "item_id long, text string")
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in with_leaks(docs, items).collect()}
+    assert got == {1: [], 2: [1], 3: []}
+
+
+def test_equal_rows_and_rows_without_words_fill_no_shard(spark):
+    rows = [(None, "same text here", None)] * 900 + [(None, None, "a")] * 700 + [(1, "", None)] * 3
+    docs = spark.createDataFrame(rows, DOCS)
+    got = pack_documents(docs, 100, shard_rows=50).collect()
+    assert len(got) == 1603 and sum(r.bin_id is None for r in got) == 703
+    shards = Counter(r.bin_id >> 32 for r in got if r.bin_id is not None)
+    assert sum(shards.values()) == 900 and len(shards) > 10 and max(shards.values()) < 150
+
+
+def test_word_vectors_and_pooling_match_a_plain_loop(spark, rnd, prose):
+    import pyarrow as pa
+    from demandweave.llm.arrays import chunks
+    from demandweave.llm.quality_classifier import _index, _row, pooled, tokens, word_vectors
+
+    texts = [prose(rnd.randint(1, 60)) for _ in range(40)] + ["", None, "Wow!!!! ABC def 12", "x"]
+    rows, width = 64, 8
+    sums = np.zeros((rows, width), np.int64)
+    token_rows = []
+    for text in texts:
+        found = [tokens(c)[0] for c in chunks(pa.array([text], pa.string()))]
+        token = found[0] if found else np.zeros(0, np.uint64)
+        row, index = _row(token, rows), _index(token, width)
+        token_rows.append(row)
+        for i in range(len(token)):
+            for j in range(max(0, i - 2), min(len(token), i + 3)):
+                if i != j:
+                    for at, sign in index:
+                        sums[row[i], at[j]] += int(sign[j])
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    want = (sums / np.where(norm > 0, norm, 1)).astype(np.float32)
+    got = word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), rows, width, 2)
+    assert np.array_equal(got, want)
+    for text, row in zip(texts, token_rows):
+        own = want[row].astype(np.float64)
+        plain = np.concatenate([own.mean(0), own.std(0)]) if len(own) else np.zeros(2 * width)
+        one = [pooled(c, got) for c in chunks(pa.array([text], pa.string()))]
+        assert np.allclose(one[0][0] if one else np.zeros(2 * width), plain, atol=1e-3)
