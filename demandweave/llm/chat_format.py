@@ -6,9 +6,11 @@ prefix is the part before the first turn that the two sides do not share.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandweave.llm.staging import settle
+
 PROMPT, CHOSEN, REJECTED = "prompt", "chosen", "rejected"
 
 
@@ -29,7 +31,12 @@ def first_differences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
     both = keyed(chosen, 0).unionByName(keyed(rejected, 1))
     met = both.groupBy("pair_id", "turn", "h1", "h2", "no_text", "no_role").agg(F.min("side").alias("a"), F.max("side").alias("b"))
-    return met.filter("a = b").groupBy("pair_id").agg(F.min("turn").alias("split"))
+    return met.filter("a = b").groupBy("pair_id").agg(F.min(_place()).alias("split"))
+
+
+def _place() -> Column:
+    """Order of turns: by number, those without one behind all others."""
+    return F.struct(F.isnull("turn").alias("last"), F.col("turn").alias("turn"))
 
 
 def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -41,16 +48,17 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     two examples of a pair.
 
     * The prefix is compared turn number by turn number; a turn that one side lacks is a difference.
+    * Turns without a number (NULL) stand behind all others, as one turn.
     * A turn that stands in several rows is compared as a set and rendered as often as it stands.
     * Sides that agree throughout are a prompt only; a pair that one side lacks has no prompt.
     * NULL text or role differs from '', and is rendered like it. A NULL pair_id is a pair like others.
     * Other columns are ignored.
     """
-    split = first_differences(chosen, rejected).withColumnsRenamed({"pair_id": "_pair"})
+    split = first_differences(chosen, rejected).withColumnsRenamed({"pair_id": "of"})
 
     def side(df: DataFrame, part: str) -> DataFrame:
-        rows = df.select("pair_id", "turn", "role", "text").join(split, F.col("pair_id").eqNullSafe(F.col("_pair")), "left")
-        behind = F.coalesce(F.col("turn") >= F.col("split"), F.lit(False))
+        rows = df.select("pair_id", "turn", "role", "text").join(split, F.col("pair_id").eqNullSafe(F.col("of")), "left")
+        behind = F.col("split").isNotNull() & (_place() >= F.col("split"))
         return rows.withColumn("part", F.when(behind, F.lit(part)).otherwise(F.lit(PROMPT)))
 
     rows = side(chosen, CHOSEN).unionByName(side(rejected, REJECTED).filter(F.col("part") == REJECTED))
@@ -62,13 +70,23 @@ def swapped_replies(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Preference pairs from plain conversations (conv_id, turn, role, text): chosen and rejected turns.
 
     A conversation up to its last reply is chosen; rejected is the same with the last reply of its
-    neighbour (conv_id with the last bit flipped) in that place. Conversations without a reply, or
-    whose neighbour has none, make no pair. Of several last replies the largest text counts.
+    neighbour in that place: the next conversation, by conv_id, that has a reply, and for the last of
+    them the first. Conversations without a reply make no pair, nor does one that is alone. Of several
+    last replies the largest text counts.
     """
-    last = turns.filter("role = 'assistant' and conv_id is not null").groupBy("conv_id").agg(
+    last = turns.filter("role = 'assistant' and conv_id is not null and turn is not null").groupBy("conv_id").agg(
         F.max(F.struct("turn", "text")).alias("r")).select("conv_id", F.col("r.turn").alias("last"), F.col("r.text").alias("reply"))
-    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("reply").alias("other"))
-    pairs = last.join(other, "conv_id")
+    # Ranges of conv_id in order; each knows its own neighbours, and one row a range tells what comes behind it.
+    ranges = settle(last.repartitionByRange("conv_id").withColumn("range", F.spark_partition_id()))
+    ends = ranges.groupBy("range").agg(F.min(F.struct("conv_id", "reply")).alias("first"), F.max("conv_id").alias("end"))
+    in_order = Window.orderBy("range")  # one row a range
+    least = F.first("first").over(in_order)
+    behind = ends.select("end", F.coalesce(F.lead("first").over(in_order), least).alias("behind"))
+    near = Window.partitionBy("range").orderBy("conv_id")
+    own = F.struct("conv_id", "reply")
+    others = ranges.withColumn("next", F.lead(own).over(near)).join(behind, F.col("conv_id") == F.col("end"), "left")
+    pairs = others.withColumn("next", F.coalesce("next", "behind")).filter("next.conv_id <> conv_id").select(
+        "conv_id", "last", F.col("next.reply").alias("other"))
     upto = turns.join(pairs.select("conv_id", "last"), "conv_id").filter("turn <= last").select(
         F.col("conv_id").alias("pair_id"), "turn", "role", "text", "last")
     chosen = upto.drop("last")

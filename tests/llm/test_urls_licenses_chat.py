@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from demandweave.llm.chat_format import preference_segments, swapped_replies
-from demandweave.llm.license_scan import NOTICES, FuzzyNotices, exact_places, pieces, scan_licenses, word_text
+from demandweave.llm.license_scan import NOTICES, FuzzyNotices, exact_places, holds_in_order, pieces, scan_licenses, word_text
 from demandweave.llm.queries import URL_RULES
 from demandweave.llm.url_filters import UrlRule, bloom_blocks, canonical, judge_urls
 
@@ -104,6 +105,8 @@ def test_edits_within_the_bound_are_found(rnd, prose):
                 k = rnd.randrange(1, len(letters) - 1)
                 letters[k : k + rnd.randint(0, 1)] = [rnd.choice("qz")]
             text = "".join(letters)
+            if not holds_in_order(text, notice.exact):
+                continue  # the name itself is edited
             best = distance(notice.phrase, text)
             found = [f for f in fuzzy.find(f"{prose(20)} {text} {prose(20)}") if f[0] == i]
             assert found and min(f[3] for f in found) <= best, (notice, text)
@@ -158,5 +161,64 @@ def test_prompt_and_completions_rebuild_both_sides(spark, rnd):
         out = preference_segments(chosen, rejected).filter(F.col("part").isin("prompt", side)).collect()
         want = sorted((r.pair_id, r.turn, f"<|{r.role}|>\n{r.text}<|end|>\n") for r in df.collect())
         assert sorted((r.pair_id, r.turn, r.rendered) for r in out) == want
-    plan = preference_segments(chosen, rejected)._jdf.queryExecution().executedPlan().toString()
+    plain = [spark.createDataFrame(df.collect(), TURNS) for df in (chosen, rejected)]
+    plan = preference_segments(*plain)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Window|collect_list", plan)
+
+
+# Wordings of licences that no notice stands for; none may get a label of its own.
+OTHERS = [
+    "licensed under the bsd license", "licensed under the isc license", "licensed under the mpl license", "licensed under the zlib license",
+    "licensed under cc by sa 4.0", "licensed under cc by nd 4.0", "GNU General Public License version 2", "gnu lesser general public license version 3",
+    "gnu affero general public license version 3", "mozilla public license version 1.1", "apache license version 1.1", "licensed under the apache license version 1 1",
+    "creative commons attribution sharealike 4.0 international", "creative commons attribution noderivatives 4.0 international",
+    "eclipse public license version 2.0", "european union public licence version 1.2", "permission is not granted to any person",
+]
+
+
+def test_no_licence_gets_the_name_of_another(spark):
+    """Every notice against every other, and against licences without a notice."""
+    fuzzy = FuzzyNotices(NOTICES)
+    for i, notice in enumerate(NOTICES):
+        assert {NOTICES[f[0]].label for f in fuzzy.find(f"one two {notice.phrase} three")} == {notice.label}, notice
+    for text in OTHERS:
+        assert fuzzy.find(word_text(f"this work is {text} as it stands".encode()).decode()) == [], text
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(OTHERS)], "doc_id long, text string")
+    assert {r.labels for r in scan_licenses(docs).collect()} <= {"", "apache-2"} - ({"apache-2"})
+
+
+def test_all_places_of_a_notice_are_reported():
+    fuzzy = FuzzyNotices(NOTICES)
+    text = "all rights reservd all rights reserved al rights reserved x all rights reserved"
+    got = [(a, b, e) for i, a, b, e in fuzzy.find(text) if NOTICES[i].label == "all-rights-reserved"]
+    assert [(text[a:b].strip(), e) for a, b, e in got] == [
+        ("all rights reservd", 1), ("all rights reserved", 0), ("al rights reserved", 1), ("all rights reserved", 0)]
+    assert not [f for f in fuzzy.find("small rights reserved") if f[3] == 0]
+
+
+@pytest.mark.parametrize("extra", ["block", "key", "words", "url_", "page", "found", "on_list", "w0", "w7", "_block", "_url", "_rule", "maybe"])
+def test_pages_may_have_any_column(spark, extra):
+    pages = spark.createDataFrame([("http://a.org/x", 1, None), (None, 2, 3)], f"url string, page_id long, `{extra}` long")
+    listed = spark.createDataFrame([("http://a.org/x",), (None,)], "url string")
+    got = {r.page_id: (r.verdict, r[extra]) for r in judge_urls(pages, listed).collect()}
+    assert got == {1: ("block", None), 2: ("allow", 3)}
+
+
+def test_turns_without_a_number_stand_last(spark):
+    chosen = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, None, "user", "left")]
+    rejected = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, None, "user", "right")]
+    got = preference_segments(spark.createDataFrame(chosen, TURNS), spark.createDataFrame(rejected, TURNS)).collect()
+    assert sorted((r.part, r.turn if r.turn is not None else 99, r.rendered.split("\n")[1][:5]) for r in got) == [
+        ("chosen", 99, "left<"), ("prompt", 0, "q<|en"), ("prompt", 1, "a<|en"), ("rejected", 99, "right")]
+
+
+def test_every_conversation_with_a_reply_makes_a_pair(spark, rnd):
+    ids = rnd.sample(range(-50, 5000), 61)
+    rows = [(c, t, role, f"{c}.{t}") for c in ids for t, role in ((0, "user"), (1, "assistant"), (2, "user"))] + [(None, 1, "assistant", "x"), (9999, 0, "user", "y")]
+    chosen, rejected = swapped_replies(spark.createDataFrame(rows, TURNS.replace("pair_id", "conv_id")).repartition(7))
+    order = sorted(ids)
+    want = {c: f"{n}.1" for c, n in zip(order, order[1:] + order[:1])}
+    assert {r.pair_id: r.text for r in rejected.filter("turn = 1").collect()} == want
+    assert chosen.count() == 2 * 61 and rejected.count() == 2 * 61
+    alone = spark.createDataFrame(rows[:3], TURNS.replace("pair_id", "conv_id"))
+    assert all(df.isEmpty() for df in swapped_replies(alone))
