@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandweave.llm.quality_rules import let
-from demandweave.llm.staging import settle
+from demandweave.llm.staging import free_names, settle
 
 MIN_CHARS = 40
 MIN_DOCUMENTS = 5
@@ -44,7 +44,8 @@ def dropped_lines(
     """Bitmaps of the lines to drop: (d, t, bitmap), only for documents that lose a line.
 
     ``bitmap``: array of (word, bits); bit i of ``bits`` stands for line 64 * word + i, counted
-    from 0. Words without a dropped line are left out. d, t: see ``_row_key``.
+    from 0. Words without a dropped line are left out. d, t: see ``_row_key``. The keeper of a line is
+    the largest doc_id that holds it, all rows of that doc_id.
     """
     entry = F.struct(F.col("i").cast("long").alias("pos"), line_key(F.col("line")).alias("key"))
     lines = (
@@ -82,23 +83,24 @@ def dedup_lines(
 
     * Documents are told apart by doc_id: rows with the same doc_id count once, a NULL doc_id as
       one document before all others. Keys are compared by 128 bits of hash.
-    * NULL and '' are one empty line; their kept_text is ''.
+    * NULL and '' are one empty line; their kept_text is ''. A document that loses all its lines stays, with kept_text ''.
     * One row per row of ``docs``; its other columns stay, but for those named like a result.
     """
     docs = docs.drop("n_lines", "n_dropped", "bitmap", "kept_text")
-    gone = dropped_lines(docs, min_chars, min_documents, doc_id, text).withColumnsRenamed({"d": "_d", "t": "_t"})
+    kd, kt, places = free_names(docs.columns, "d", "t", "gone")
+    gone = dropped_lines(docs, min_chars, min_documents, doc_id, text).withColumnsRenamed({"d": kd, "t": kt})
     d, t = _row_key(doc_id, text)
-    marked = docs.select("*", d.alias("_d"), t.alias("_t")).join(gone, ["_d", "_t"], "left").drop("_d", "_t")
+    marked = docs.select("*", d.alias(kd), t.alias(kt)).join(gone, [kd, kt], "left").drop(kd, kt)
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    marked = marked.withColumn("_gone", _places(F.col("bitmap")))
+    marked = marked.withColumn(places, _places(F.col("bitmap")))
 
     def without(lines: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places))
         return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
     kept = let(lines_of(F.col(text)), without)
     n_lines = F.length(content) - F.length(F.translate(content, "\n", "")) + 1
     return marked.select(
         *[F.col(f"`{c}`") for c in docs.columns], n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"), "bitmap",
+        F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_dropped"), "bitmap",
         F.when(F.col("bitmap").isNull(), content).otherwise(kept).alias("kept_text"))

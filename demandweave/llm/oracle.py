@@ -21,6 +21,7 @@ def _quality_rules() -> str:
         bounds = [f"100 * {rule.part} < {rule.least} * {rule.whole}"] if rule.least is not None else []
         bounds += [f"100 * {rule.part} > {rule.most} * {rule.whole}"] if rule.most is not None else []
         names.append(f"CASE WHEN {rule.whole} > 0 AND ({' OR '.join(bounds)}) THEN '{rule.name}' END")
+    alone = [f"({n}) IS NULL" for n, rule in zip(names, RULES) if rule.alone]
     return rf"""
     WITH d AS (
         SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -43,7 +44,7 @@ def _quality_rules() -> str:
     judged AS (
         SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
                concat_ws(',', {', '.join(names)}) AS broken_rules FROM counted)
-    SELECT *, NOT base_failed AND broken_rules = '' AS kept FROM judged"""
+    SELECT *, NOT base_failed AND {' AND '.join(alone)} AS kept FROM judged"""
 
 
 def _url_filters() -> str:
@@ -82,7 +83,8 @@ _PREFERENCE = r"""
         SELECT conv_id, last, max(text) AS reply FROM l JOIN conversations c USING (conv_id)
         WHERE c.turn = last AND role = 'assistant' GROUP BY ALL),
     pairs AS (
-        SELECT a.conv_id AS pair_id, a.last, b.reply AS other FROM reply a JOIN reply b ON b.conv_id = xor(a.conv_id, 1)),
+        SELECT conv_id AS pair_id, last, lead(reply, 1, first) OVER (ORDER BY conv_id) AS other
+        FROM (SELECT *, first_value(reply) OVER (ORDER BY conv_id) AS first, count(*) OVER () AS n FROM reply) WHERE n > 1),
     chosen AS (
         SELECT pair_id, turn, role, text, last FROM pairs JOIN conversations ON conv_id = pair_id WHERE turn <= last),
     rejected AS (

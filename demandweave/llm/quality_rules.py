@@ -7,22 +7,31 @@ functions takes part, and no rows are exchanged.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandweave.llm.staging import free_names
+
 SHINGLE = 5
 
 
 class Rule(NamedTuple):
-    """``least <= 100 * part / whole <= most``; None: no bound. A text without ``whole`` passes."""
+    """``least <= 100 * part / whole <= most``; None: no bound. A text without ``whole`` passes.
+
+    ``alone``: breaking this rule is enough to reject a text; else it is only reported, as with words
+    that short texts and other languages may lack.
+    """
 
     name: str
     part: str
     whole: str
     least: int | None
     most: int | None
+    alone: bool = True
 
 
 # Percentages.
@@ -31,7 +40,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", None, 10),
     Rule("exclamations", "n_exclamations", "n_words", None, 30),
     Rule("capitals", "n_capitals", "word_chars", None, 40),
-    Rule("stop_words", "n_stop_words", "n_words", 5, None),
+    Rule("stop_words", "n_stop_words", "n_words", 5, None, alone=False),
     Rule("repeated_lines", "n_dup_lines", "n_lines", None, 50),
 )
 
@@ -97,14 +106,15 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     of_lines = let(F.filter(F.split(content, "\n", -1), lambda x: F.length(F.translate(x, _SPACE, "")) > 0), lambda x: F.struct(
         F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
     own = [F.col(f"`{c}`") for c in docs.columns if c not in COUNTS]
+    words, lines = free_names([*docs.columns, *COUNTS], "words", "lines")
     counted = docs.select(
         *own, F.length(F.translate(content, _SPACE, "")).cast("long").alias("word_chars"),
         _how_many(content, _SYMBOLS).cast("long").alias("n_symbols"), _how_many(content, "!").cast("long").alias("n_exclamations"),
-        _how_many(content, _CAPITALS).cast("long").alias("n_capitals"), of_words.alias("_words"), of_lines.alias("_lines"))
+        _how_many(content, _CAPITALS).cast("long").alias("n_capitals"), of_words.alias(words), of_lines.alias(lines))
     return counted.select(
-        *own, F.col("_words.n").alias("n_words"), "word_chars", "n_symbols", "n_exclamations", "n_capitals",
-        F.col("_words.stop").alias("n_stop_words"), F.col("_lines.n").alias("n_lines"),
-        F.col("_lines.dup").alias("n_dup_lines"), F.col("_words.again").alias("n_repeat_words"))
+        *own, F.col(f"{words}.n").alias("n_words"), "word_chars", "n_symbols", "n_exclamations", "n_capitals",
+        F.col(f"{words}.stop").alias("n_stop_words"), F.col(f"{lines}.n").alias("n_lines"),
+        F.col(f"{lines}.dup").alias("n_dup_lines"), F.col(f"{words}.again").alias("n_repeat_words"))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_exclamations", "n_capitals", "n_stop_words", "n_lines",
@@ -123,7 +133,7 @@ def broken(rule: Rule) -> Column:
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """Add the counts of ``measures`` and: base_failed, broken_rules (names in the order of the
-    table, comma-joined), kept.
+    table, comma-joined), kept (base passed, and no rule broken that rejects alone).
 
     * ``base_failed``: fewer than ten words, or more than 20 % of the words repeated.
     * NULL and '' have no words, so they fail. Lengths count code points.
@@ -133,4 +143,5 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") ->
     base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     names = [F.when(broken(r), F.lit(r.name)) for r in rules]
     judged = counted.withColumn("base_failed", base).withColumn("broken_rules", F.concat_ws(",", *names) if names else F.lit(""))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("broken_rules") == ""))
+    rejected = reduce(or_, [broken(r) for r in rules if r.alone], F.lit(False))
+    return judged.withColumn("kept", ~F.col("base_failed") & ~rejected)
