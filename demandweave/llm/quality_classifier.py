@@ -191,7 +191,7 @@ def score_quality(
     """Score of each document: doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on).
 
     Word vectors come from all documents. The network is fitted on at most ``train_rows`` labelled
-    documents, those with the smallest hash, whose crc32(doc_id as text) mod 4 is not 2 (held_out:
+    documents, those with the smallest hash (among a share of the labels), whose crc32(doc_id as text) mod 4 is not 2 (held_out:
     it is 2); a fifth of them sets the temperature. Only the text goes into a score.
 
     * NULL and empty texts have a vector of zeros, and its score.
@@ -205,7 +205,10 @@ def score_quality(
     features = settle(texts.mapInArrow(_features(vectors), "doc_id long, features array<float>"))
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).filter(
         F.col("y").isin(0.0, 1.0) & ~held_out & F.col("doc_id").isNotNull())
-    chosen = features.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(train_rows).toArrow()
+    # A share of the hashes with about twice as many rows, so no task passes on more than its part of them.
+    share = min(1.0, 2 * train_rows / max(1, known.count()))
+    labelled = known.filter(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    chosen = features.join(labelled, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(train_rows).toArrow()
     if chosen.num_rows:
         x = chosen.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(chosen.num_rows, -1)
         y = chosen.column("y").to_numpy()
