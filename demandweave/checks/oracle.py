@@ -247,39 +247,39 @@ def _iso_at(suffix_seconds: str) -> str:
 _POSTING = """
     SELECT {seq} AS seq, '{source}' AS source, {token} AS board_token, {id} AS source_job_id, {company} AS company,
            {title} AS title, {location} AS location, {remote} AS is_remote, md5({description}) AS description,
-           {url} AS apply_url, cast({posted} AS varchar) AS posted_at
+           {url} AS apply_url, cast({posted} AS varchar) AS posted_at, {raw} AS raw_title
     FROM documents WHERE {where}"""
 
 _NORM_GREENHOUSE = _POSTING.format(
     seq=_SEQ, source="greenhouse", token="source", id="cast(doc_id AS varchar)",
-    company="CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END", title="text",
+    company="CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END", title="text", raw="md5(text)",
     location="CASE WHEN lang = 'en' THEN 'REMOTE, ' || source ELSE source END", remote="lang = 'en'",
     description=_WRAPPED, url="'https://b.example/' || doc_id",
     posted=f"CASE WHEN doc_id % 2 = 0 THEN {_iso_at('0')} ELSE {_iso_at('-7200000000')} END", where=_READABLE,
 ) + " UNION ALL " + _POSTING.format(
-    seq=_SEQ + " + 6", source="greenhouse", token="source", id="'x' || doc_id", company="source", title="''",
+    seq=_SEQ + " + 6", source="greenhouse", token="source", id="'x' || doc_id", company="source", title="''", raw="NULL",
     location="NULL", remote="false", description="''", url="''", posted="NULL", where=_READABLE,
 )
 
 _NORM_LEVER = _POSTING.format(
-    seq=_SEQ, source="lever", token="source", id="'l' || doc_id", company="source", title="text",
+    seq=_SEQ, source="lever", token="source", id="'l' || doc_id", company="source", title="text", raw="md5(text)",
     location="source", remote="doc_id % 2 = 0 OR doc_id % 5 = 0",
     description=f"CASE WHEN doc_id % 3 = 0 THEN {_WRAPPED} ELSE text END",
     url="CASE WHEN doc_id % 4 = 0 THEN 'https://a.example' ELSE 'https://h.example' END",
     posted="make_timestamp((1704067200000 + doc_id * 1001) * 1000)", where=_READABLE,
 ) + " UNION ALL " + _POSTING.format(
-    seq=_SEQ + " + 1", source="lever", token="source", id="'12.5'", company="source", title="''",
+    seq=_SEQ + " + 1", source="lever", token="source", id="'12.5'", company="source", title="''", raw="NULL",
     location="NULL", remote="false", description="''", url="''", posted="NULL", where=_READABLE,
 )
 
 _NORM_ASHBY = _POSTING.format(
-    seq=_SEQ, source="ashby", token="source", id="'a' || doc_id", company="source", title="text",
+    seq=_SEQ, source="ashby", token="source", id="'a' || doc_id", company="source", title="text", raw="md5(text)",
     location="source", remote="doc_id % 2 = 0",
     description=f"CASE WHEN doc_id % 3 = 0 THEN {_WRAPPED} ELSE text END",
     url="CASE WHEN doc_id % 4 = 0 THEN 'https://j.example' ELSE 'https://a.example' END",
     posted=_iso_at("250000"), where=_READABLE,
 ) + " UNION ALL " + _POSTING.format(
-    seq=_SEQ + " + 1", source="ashby", token="source", id="'3'", company="source", title="''",
+    seq=_SEQ + " + 1", source="ashby", token="source", id="'3'", company="source", title="''", raw="NULL",
     location="NULL", remote="false", description="''", url="''", posted="NULL", where=_READABLE,
 )
 
@@ -296,7 +296,7 @@ def _pages(max_pages: int) -> str:
 
 _NORM_ARBEITNOW = _POSTING.format(
     seq=_SEQ, source="arbeitnow", token="'arbeitnow'", id="'s' || doc_id",
-    company="CASE WHEN doc_id % 3 = 0 THEN 'arbeitnow' ELSE lang END", title="text", location="source",
+    company="CASE WHEN doc_id % 3 = 0 THEN 'arbeitnow' ELSE lang END", title="text", raw="md5(text)", location="source",
     remote="doc_id % 2 = 0", description=_WRAPPED, url="'https://f.example/' || doc_id",
     posted=_at("doc_id"), where=_READABLE,
 ).replace("FROM documents", f"FROM ({_pages(5)})")
@@ -366,28 +366,36 @@ def _full_run() -> str:
     boards = "(SELECT count(*) FROM (SELECT DISTINCT source, board FROM docs))"
     raw = "(SELECT count(*) FROM docs WHERE {})"
 
-    def row(run: str, status: str, failed: int, fetched: str, upserted: str, gone_rows: str, errors: str, day: str) -> str:
+    def row(run: str, status: str, failed: int, fetched: str, upserted: str, gone_rows: str, errors: str) -> str:
         return f"""
         SELECT '{run}' AS run_id, {status} AS status, cast({boards} AS bigint) AS boards_attempted,
                cast({boards} - {failed} AS bigint) AS boards_succeeded, cast({raw.format(fetched)} AS bigint) AS raw_fetched,
                cast((SELECT count(*) FROM {upserted}) AS bigint) AS jobs_upserted,
-               cast({gone_rows} AS bigint) AS jobs_deactivated, {errors} AS errors,
-               (SELECT count(*) FROM {day}) AS demand_rows, cast((SELECT sum(n) FROM {day}) AS bigint) AS demand_total,
-               (SELECT count(DISTINCT job_id) FROM (SELECT job_id FROM first_run UNION ALL SELECT job_id FROM second_run
-                UNION ALL SELECT job_id FROM third_run)) AS jobs,
-               (SELECT count(*) FROM third_run) AS active"""
+               cast({gone_rows} AS bigint) AS jobs_deactivated, {errors} AS errors"""
 
+    ever_links = _found("SELECT job_id, blob AS t FROM ever", "t")
     return f"""
     WITH docs AS ({docs}), first_run AS ({first}), second_run AS ({second}), gone AS ({gone}),
     second_active AS ({second_active}), third_run AS ({third}), third_gone AS ({third_gone}),
-    third_active AS ({third_active}), day1 AS ({demand('first_run')}), day2 AS ({demand('third_active')})
-    {row('d1', "'succeeded'", 0, "origin NOT IN ('src1', 'src2', 'src3')", 'first_run', '0', 'NULL', 'day1')}
-    UNION ALL
-    {row('d2', "'completed_with_errors'", 1, "origin <> 'src5'", 'second_run', '(SELECT count(*) FROM gone)',
-         "'lever/fr: 503'", 'day2')}
-    UNION ALL
-    {row('d3', "'succeeded'", 0, "origin NOT IN ('src5', 'src9', 'src14')", 'third_run', '(SELECT count(*) FROM third_gone)',
-         'NULL', 'day2')}"""
+    third_active AS ({third_active}), day1 AS ({demand('first_run')}), day2 AS ({demand('third_active')}),
+    ever AS (
+        SELECT * FROM docs WHERE job_id IN (SELECT job_id FROM first_run UNION SELECT job_id FROM second_run UNION SELECT job_id FROM third_run)),
+    days AS (SELECT 1 AS day, * FROM day1 UNION ALL SELECT 2, * FROM day2),
+    runs AS (
+        {row('d1', "'succeeded'", 0, "origin NOT IN ('src1', 'src2', 'src3')", 'first_run', '0', 'NULL')}
+        UNION ALL
+        {row('d2', "'completed_with_errors'", 1, "origin <> 'src5'", 'second_run', '(SELECT count(*) FROM gone)', "'lever/fr: 503'")}
+        UNION ALL
+        {row('d3', "'succeeded'", 0, "origin NOT IN ('src5', 'src9', 'src14')", 'third_run', '(SELECT count(*) FROM third_gone)', 'NULL')})
+    SELECT 'run' AS kind, run_id AS key, concat_ws('|', status, boards_attempted, boards_succeeded, raw_fetched, jobs_upserted, jobs_deactivated, errors) AS value
+    FROM runs
+    UNION ALL SELECT 'error', 'd2|lever|fr', 'lever/fr: 503'
+    UNION ALL SELECT 'job', job_id, concat_ws('|', source, id, board, job_id IN (SELECT job_id FROM third_run),
+        CASE WHEN job_id IN (SELECT job_id FROM first_run) THEN 1 ELSE 2 END,
+        CASE WHEN job_id IN (SELECT job_id FROM second_run UNION ALL SELECT job_id FROM third_run) THEN 2 ELSE 1 END) FROM ever
+    UNION ALL SELECT 'link', concat_ws('|', job_id, skill), category FROM ({ever_links})
+    UNION ALL SELECT 'demand', concat_ws('|', role, skill, day), cast(n AS varchar) FROM days
+    UNION ALL SELECT 'trend', concat_ws('|', role, skill, day), cast(n AS varchar) FROM days"""
 
 
 _ORACLE: dict[str, str] = {
@@ -455,11 +463,11 @@ _ORACLE: dict[str, str] = {
             UNION ALL
             SELECT *, DATE '2024-01-06' FROM demand WHERE snapshot_date = DATE '2024-01-05' AND job_count > 1)""",
     "serving_export": """
-        SELECT 'jobs' AS table_name, count(*) AS n, cast(0 AS bigint) AS text_chars FROM jobs
-        UNION ALL SELECT 'job_skills', count(*), 0 FROM job_skills
-        UNION ALL SELECT 'skill_demand', count(*), 0 FROM demand
-        UNION ALL SELECT 'skill_trends', count(*), 0 FROM demand
-        UNION ALL SELECT 'ingestion_runs', count(*), 0 FROM runs""",
+        SELECT 'jobs' AS table_name, job_id AS key, concat_ws('|', source, source_job_id, title, dedup_hash, 0, is_active) AS value FROM jobs
+        UNION ALL SELECT 'job_skills', concat_ws('|', job_id, skill), category FROM job_skills
+        UNION ALL SELECT 'skill_demand', concat_ws('|', role, skill, coalesce(category, '-'), snapshot_date), cast(job_count AS varchar) FROM demand
+        UNION ALL SELECT 'skill_trends', concat_ws('|', role, skill, snapshot_date), cast(job_count AS varchar) FROM demand
+        UNION ALL SELECT 'ingestion_runs', cast(run_id AS varchar), concat_ws('|', started_at, finished_at) FROM runs""",
     "run_summary": """
         SELECT run_id, cast(count(*) AS bigint) AS boards_attempted, cast(count(*) FILTER (n < 20) AS bigint) AS boards_succeeded,
                CASE WHEN count(*) FILTER (n >= 20) = 0 THEN 'succeeded' WHEN count(*) FILTER (n < 20) > 0
@@ -479,7 +487,27 @@ _ORACLE: dict[str, str] = {
                (SELECT cast(count(*) AS bigint) FROM ({_reconciled("(SELECT * FROM boards WHERE source <> 'ashby')")})
                 WHERE action = 'deactivate') AS jobs_deactivated,
                (SELECT string_agg('ashby/' || board_token || ': timeout', chr(10) ORDER BY board_token)
-                FROM boards WHERE source = 'ashby') AS errors""",
+                FROM boards WHERE source = 'ashby') AS errors,
+               (SELECT count(*) FROM fetched WHERE regexp_matches(title, '\\S') AND NOT regexp_matches(lower(title), '[a-z0-9]')) AS blank_titles,
+               (SELECT count(DISTINCT lower(company) || coalesce(lower(location), '')) FROM fetched
+                WHERE regexp_matches(title, '\\S') AND NOT regexp_matches(lower(title), '[a-z0-9]')) AS blank_title_hashes""",
+    "run_error_lines": """
+        SELECT run_id, 'greenhouse' AS source, board AS board_token, board || ': ' || n AS error
+        FROM (SELECT cast(cast(ts AS date) AS varchar) AS run_id, 'b' || (user_id % 36) AS board,
+                     count(*) FILTER (event_type = 'error') AS n FROM events GROUP BY ALL) WHERE n >= 2""",
+    "run_blank_keys": """
+        SELECT count(*) AS blank_titles, count(DISTINCT company) AS blank_title_hashes FROM fetched
+        WHERE regexp_matches(title, '\\S') AND (seq % 3 = 0 OR NOT regexp_matches(lower(title), '[a-z0-9]'))""",
+    "links_default_guards": f"""
+        WITH t AS (SELECT 'd' || doc_id AS job_id, doc_id % 12 AS k, text FROM documents
+                   UNION ALL SELECT 'c' || (conv_id * 1000 + turn), (conv_id * 1000 + turn) % 12, text FROM conversations),
+        r AS (SELECT job_id, k, len(list_filter(regexp_extract_all({_DOUBLED.format(text='text')},
+                  '(?i)(?:^|[^A-Za-z0-9+#])(?:r[&$]|(r))(?:$|[^A-Za-z0-9+#])', 1), lambda x: x <> '')) > 0 AS said,
+                  k = 10 OR regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9+#])(?:and|und|et)(?:$|[^A-Za-z0-9+#])') AS joint FROM t)
+        SELECT job_id, 'Go' AS skill, 'Language' AS category FROM t WHERE k IN (0, 11)
+        UNION ALL SELECT job_id, 'C', 'Language' FROM t WHERE k = 10
+        UNION ALL SELECT job_id, 'R', 'Language' FROM r WHERE k = 10 OR said
+        UNION ALL SELECT job_id, 'Joint', 'Word' FROM r WHERE joint""",
     "strip_html_pages": f"""
         SELECT page_id, {_squeeze(f"regexp_replace({_PLAIN_HTML}, '<[^>]+>', ' ', 'g')")} AS plain_text FROM pages""",
     "normalize_key": f"SELECT doc_id, md5({_norm('text')}) AS key_md5 FROM documents",
@@ -685,7 +713,8 @@ _ORACLE: dict[str, str] = {
     "dq_relationships": """
         SELECT 'relationships' AS "check", 'job_id' AS "column", count(*) AS failures FROM raw_links
         WHERE job_id NOT IN (SELECT job_id FROM fact)
-        UNION ALL SELECT 'relationships', 'company_key', cast(0 AS bigint)""",
+        UNION ALL SELECT 'relationships', 'company_key', count(*) FROM fact
+        WHERE md5(company) NOT IN (SELECT md5(company) FROM jobs WHERE is_active)""",
     "dq_freshness": """
         SELECT cast(last AS varchar) AS last_loaded_at, age AS age_seconds,
                CASE WHEN age > 14 * 86400 THEN 'error' WHEN age > 3 * 86400 THEN 'warn' ELSE 'pass' END AS status

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +57,11 @@ def _digest(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def _raw_title(postings: DataFrame, path: str) -> DataFrame:
+    """The kept JSON of a posting, by what it says under ``path``."""
+    return postings.withColumn("raw_title", F.md5(F.get_json_object("raw_json", path))).drop("raw_json")
+
+
 # --- catalogs and payloads --------------------------------------------------------------
 
 
@@ -92,25 +98,25 @@ def src_roles(s: StandIns) -> DataFrame:
 @_query
 def norm_greenhouse(s: StandIns) -> DataFrame:
     raw = payload_texts.greenhouse(s.documents)
-    return _digest(payloads.greenhouse(raw).drop("raw_json"), "description")
+    return _digest(_raw_title(payloads.greenhouse(raw), "$.title"), "description")
 
 
 @_query
 def norm_lever(s: StandIns) -> DataFrame:
     raw = payload_texts.lever(s.documents)
-    return _digest(payloads.lever(raw).drop("raw_json"), "description")
+    return _digest(_raw_title(payloads.lever(raw), "$.text"), "description")
 
 
 @_query
 def norm_ashby(s: StandIns) -> DataFrame:
     raw = payload_texts.ashby(s.documents)
-    return _digest(payloads.ashby(raw).drop("raw_json"), "description")
+    return _digest(_raw_title(payloads.ashby(raw), "$.title"), "description")
 
 
 @_query
 def norm_arbeitnow(s: StandIns) -> DataFrame:
     raw = payload_texts.arbeitnow(s.documents)
-    return _digest(payloads.arbeitnow(raw, max_pages=5).drop("raw_json"), "description")
+    return _digest(_raw_title(payloads.arbeitnow(raw, max_pages=5), "$.title"), "description")
 
 
 @_query
@@ -218,14 +224,20 @@ def serving_export(s: StandIns) -> DataFrame:
     warehouse.load_history("skill_trends", gold.skill_trends(demand))
     warehouse.load_history("ingestion_runs", s.runs)
     slim = warehouse.export_serving(f"{folder}/slim")
-    counts = None
-    for table in SERVING:
-        df = slim.read(table)
-        texts = F.sum(F.length("description")) if table == "jobs" else F.lit(0)
-        one = df.agg(F.lit(table).alias("table_name"), F.count(F.lit(1)).alias("n"),
-                     F.coalesce(texts, F.lit(0)).cast("long").alias("text_chars"))
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+    shown = {  # key and value of each row
+        "jobs": (["job_id"], ["source", "source_job_id", "title", "dedup_hash", F.length("description"), "is_active"]),
+        "job_skills": (["job_id", "skill"], ["category"]),
+        "skill_demand": (["role", "skill", F.coalesce("category", F.lit("-")), "snapshot_date"], ["job_count"]),
+        "skill_trends": (["role", "skill", "snapshot_date"], ["job_count"]),
+        "ingestion_runs": (["run_id"], ["started_at", "finished_at"]),
+    }
+    rows = [slim.read(t).select(F.lit(t).alias("table_name"), _joined(key).alias("key"), _joined(value).alias("value"))
+            for t, (key, value) in ((t, shown[t]) for t in SERVING)]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
+def _joined(columns: list) -> Column:
+    return F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns])
 
 
 @_query
@@ -244,6 +256,18 @@ def run_audit(s: StandIns) -> DataFrame:
     return run.audit_row(boards, fetched, s.stored(actions), "r", "manual", AS_OF, AS_OF)
 
 
+@_query
+def run_error_lines(s: StandIns) -> DataFrame:
+    return run.error_lines(s.boards_by_day(2))
+
+
+@_query
+def run_blank_keys(s: StandIns) -> DataFrame:
+    """Titles of which a third are written in another script."""
+    other = F.translate(F.lower("title"), "abcdefghijklmnopqrstuvwxyz0123456789", "абвгдежзийклмнопрстуфхцчшщабвгдежзийк")
+    return run.blank_keys(s.fetched.withColumn("title", F.when(F.col("seq") % 3 == 0, other).otherwise(F.col("title"))))
+
+
 # --- column expressions -----------------------------------------------------------------
 
 
@@ -365,6 +389,31 @@ def skill_match_guarded(s: StandIns) -> DataFrame:
     return s.texts.select("job_id", F.array_sort(s.guarded_words.skill_ids(F.col("description"))).alias("ids"))
 
 
+# Titles that trip the default guards, or nearly; ``oracle`` says which skills they name.
+GUARDED_TITLES = (
+    "We write Go", "you go first", "our go-to-market plan", "the go-live date", "a Series C round", "C-level staff", "the C suite",
+    "C's best", "R&D office", "R$ 5,000", "in C and R", "x. golang",
+)
+
+
+@_query
+def links_default_guards(s: StandIns) -> DataFrame:
+    """A dictionary file, its matcher with the default guards, and links over documents and conversations."""
+    folder = f"{shared_folder(s.spark)}/skills"
+    entries = [("Go", "Language", ["golang"]), ("C", "Language", []), ("R", "Language", []), ("Joint", "Word", ["and", "und", "et"])]
+    skills = s.spark.createDataFrame(entries, "name string, category string, aliases array<string>")
+    document = skills.agg(F.to_json(F.struct(F.collect_list(F.struct("name", "category", "aliases")).alias("skills"))).alias("value"))
+    document.write.text(folder)
+    ready = matcher.SkillMatcher.from_dictionary(catalogs.read_dictionary(s.spark, folder))
+    said = s.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("n"), F.lit("c").alias("kind"), "text")
+    texts = s.documents.select(F.col("doc_id").alias("n"), F.lit("d").alias("kind"), "text").unionByName(said)
+    titles = F.array(*[F.lit(t) for t in GUARDED_TITLES])
+    postings = texts.select(
+        F.concat("kind", "n").alias("job_id"), F.get(titles, (F.col("n") % len(GUARDED_TITLES)).cast("int")).alias("title"),
+        F.col("text").alias("description"))
+    return matcher.extract_links(postings, ready)
+
+
 @_query
 def extract_links(s: StandIns) -> DataFrame:
     return matcher.extract_links(s.texts, s.words)
@@ -622,9 +671,12 @@ def resolve_skill(s: StandIns) -> DataFrame:
 # --- skill gap --------------------------------------------------------------------------
 
 
+def _leaders(s: StandIns) -> DataFrame:
+    return skill_gap.leaders(_part_demand(s), read_model.role_totals(s.jobs, PART_ROLES), 20)
+
+
 def _gap(s: StandIns) -> DataFrame:
-    totals = read_model.role_totals(s.jobs, PART_ROLES)
-    return skill_gap.skill_gap(s.user_skills, skill_gap.leaders(_part_demand(s), totals, 20))
+    return skill_gap.skill_gap(s.user_skills, _leaders(s))
 
 
 @_query
@@ -634,7 +686,7 @@ def skill_gap_(s: StandIns) -> DataFrame:
 
 @_query
 def skill_gap_coverage(s: StandIns) -> DataFrame:
-    return skill_gap.coverage(_gap(s))
+    return skill_gap.coverage(s.user_skills, _leaders(s))
 
 
 @_query
@@ -718,17 +770,17 @@ def full_run(s: StandIns) -> DataFrame:
         raw = _vendor_payloads(docs.filter(listed)).withColumn("run_id", F.lit(run_id))
         now = dt.datetime(2025, 3, day, 6, tzinfo=dt.UTC)
         run.refresh(warehouse, raw, status, s.words, DOCUMENT_ROLES, run_id, now)
-    demand = warehouse.read("skill_demand").groupBy(F.dayofmonth("snapshot_date").alias("day")).agg(
-        F.count(F.lit(1)).alias("demand_rows"), F.sum("job_count").alias("demand_total")
-    )
-    audit = warehouse.read("ingestion_runs").select(
-        "run_id", "status", "boards_attempted", "boards_succeeded", "raw_fetched", "jobs_upserted", "jobs_deactivated",
-        "errors", F.dayofmonth("started_at").alias("day"),
-    )
-    jobs = warehouse.read("jobs").agg(F.count(F.lit(1)).alias("jobs"), F.count_if("is_active").alias("active"))
-    return audit.join(demand, "day", "left").drop("day").select(
-        "*", jobs.select("jobs").scalar().alias("jobs"), jobs.select("active").scalar().alias("active")
-    )
+    day = F.dayofmonth("snapshot_date")
+    lines = warehouse.read("run_errors")
+    return functools.reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), _joined(key).alias("key"), _joined(value).alias("value")) for kind, df, key, value in (
+        ("run", warehouse.read("ingestion_runs"), ["run_id"], [
+            "status", "boards_attempted", "boards_succeeded", "raw_fetched", "jobs_upserted", "jobs_deactivated", "errors"]),
+        ("error", lines, ["run_id", "source", "board_token"], ["error"]),
+        ("job", warehouse.read("jobs"), ["job_id"], ["source", "source_job_id", "board_token", "is_active", F.dayofmonth("first_seen_at"), F.dayofmonth("last_seen_at")]),
+        ("link", warehouse.read("job_skills"), ["job_id", "skill"], ["category"]),
+        ("demand", warehouse.read("skill_demand"), ["role", "skill", day], ["job_count"]),
+        ("trend", warehouse.read("skill_trends"), ["role", "skill", day], ["job_count"]),
+    )])
 
 
 def _vendor():

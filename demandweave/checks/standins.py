@@ -135,15 +135,18 @@ class StandIns:
 
     @cached_property
     def daily_boards(self) -> DataFrame:
-        """Status of 36 boards per day; a board failed if it had an error event."""
+        return self.boards_by_day(20)
+
+    def boards_by_day(self, errors: int) -> DataFrame:
+        """Status of 36 boards per day; a board failed if it had so many error events."""
         board = F.concat(F.lit("b"), F.col("user_id") % 36)
         failed = F.count_if(F.col("event_type") == "error")
         return (
             self.table("events").groupBy(F.to_date("ts").cast("string").alias("run_id"), board.alias("board_token"))
             .agg(failed.alias("n"))
             .select(
-                "run_id", F.lit("greenhouse").alias("source"), "board_token", (F.col("n") < 20).alias("ok"),
-                F.when(F.col("n") >= 20, F.concat("board_token", F.lit(": "), "n")).alias("error"),
+                "run_id", F.lit("greenhouse").alias("source"), "board_token", (F.col("n") < errors).alias("ok"),
+                F.when(F.col("n") >= errors, F.concat("board_token", F.lit(": "), "n")).alias("error"),
             )
         )
 

@@ -42,16 +42,39 @@ def parts_of(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), *[of_length(n) for n in range(1, KEY_CHARS + 1)]))
 
 
+BITMAP_WORDS = 1024  # of 64 bits, for the keys of a seed table
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(64 * BITMAP_WORDS))
+
+
+def key_bitmap(keys: Column, of: DataFrame) -> Column:
+    """A scalar: the bits of all keys, as an array of BITMAP_WORDS numbers (8 KB, however many keys there are)."""
+    bits = of.select(_bit(keys).alias("bit"))
+    words = bits.groupBy(F.expr("bit div 64").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("w"))
+    held = words.agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(BITMAP_WORDS - 1).cast("long"))
+    return held.select(F.transform(numbers, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("bitmap")).scalar()
+
+
 def posting_roles(postings: DataFrame, roles: RolePatterns | DataFrame) -> DataFrame:
     """Distinct (job_id, role) of ``postings`` (job_id, title_lower; one row per job_id).
 
     A list of patterns is applied row by row: no join, no shuffle. A seed table (role, pattern)
-    of any size stays a table: titles meet the patterns that begin like one of their parts in an
-    equi-join, and a substring test decides. Rows without a role or a pattern count for nothing.
+    of any size stays a table. Then each different title is looked at once; of its parts only those
+    leave the task that some pattern may begin with, by a bitmap of the patterns' first characters;
+    they meet the patterns in an equi-join, and a substring test decides. Titles take their roles
+    back to the postings. Rows without a role or a pattern count for nothing.
     """
     if isinstance(roles, DataFrame):
         seed = roles.filter("role is not null and pattern is not null").select("role", "pattern").distinct()
         seed = seed.withColumn("key", F.substring("pattern", 1, KEY_CHARS))
-        titles = postings.select("job_id", "title_lower", F.explode(parts_of(F.col("title_lower"))).alias("key"))
-        return titles.join(seed, "key").filter(F.contains("title_lower", "pattern")).select("job_id", "role").distinct()
+        bitmap = key_bitmap(F.col("key"), seed)
+        titles = postings.filter("title_lower is not null").select("title_lower").distinct().withColumn("bitmap", bitmap)
+        known = F.filter(parts_of(F.col("title_lower")), lambda k: F.getbit(
+            F.get("bitmap", F.floor(_bit(k) / 64).cast("int")), (_bit(k) % 64).cast("int")) == 1)
+        parts = titles.select("title_lower", F.explode(known).alias("key"))
+        found = parts.join(seed, "key").filter(F.contains("title_lower", "pattern")).select("title_lower", "role").distinct()
+        return postings.select("job_id", "title_lower").join(found, "title_lower").select("job_id", "role")
     return postings.select("job_id", F.explode(roles_of(F.col("title_lower"), roles)).alias("role"))

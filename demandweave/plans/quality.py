@@ -122,22 +122,60 @@ def freshness(
     )
 
 
+def _row_checks(df: DataFrame, name: str) -> DataFrame | None:
+    """not_null and accepted_values of a model, in one pass over it."""
+    columns = NOT_NULL.get(name, [])
+    counts = [F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)]
+    named = [("not_null", c, f"n{i}") for i, c in enumerate(columns)]
+    if name in ACCEPTED:
+        column, values = ACCEPTED[name]
+        counts.append(F.count_distinct(F.when(~F.col(column).isin(list(values)), F.col(column))).alias("odd"))
+        named.append(("accepted_values", column, "odd"))
+    return _named(df.agg(*counts), named) if counts else None
+
+
+def _named(one: DataFrame, named: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """One row of counts as one row (check, column, failures) for each (check, column, count)."""
+    rows = F.array(*[
+        F.struct(F.lit(check).alias("check"), F.lit(column).alias("column"), F.coalesce(F.col(n).cast("long"), F.lit(0).cast("long")).alias("failures"))
+        for check, column, n in named])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def key_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n): how often each value of the columns stands, for all of them in one pass and one
+    exchange. Values are compared as text; NULL is no value."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    return df.select(F.explode(pairs).alias("p")).filter("p.value IS NOT NULL").groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def check_models(models: dict[str, DataFrame]) -> DataFrame:
     """All declared checks of the models that are given: (model, check, column, failures).
 
-    The models should be stored tables: each check reads the columns it needs again.
+    A model is read once for its row checks and once, for the columns with keys, to count values;
+    that count serves uniqueness and the relationships on both their sides.
     """
+    keys: dict[str, list[str]] = {name: list(UNIQUE.get(name, [])) for name in models}
+    relations = [r for r in RELATIONSHIPS if r[0] in models and r[2] in models]
+    for child, column, parent, field in relations:
+        for name, c in ((child, column), (parent, field)):
+            if c not in keys[name]:
+                keys[name].append(c)
+    values = {name: key_values(models[name], columns) for name, columns in keys.items() if columns}
     results: list[tuple[str, DataFrame]] = []
     for name, df in models.items():
-        if name in NOT_NULL:
-            results.append((name, not_null(df, NOT_NULL[name])))
-        results += [(name, unique(df, column)) for column in UNIQUE.get(name, [])]
+        if (rows := _row_checks(df, name)) is not None:
+            results.append((name, rows))
+        if unique_columns := UNIQUE.get(name, []):
+            one = values[name].agg(*[
+                F.count_if((F.col("column") == c) & (F.col("n") > 1)).alias(f"n{i}") for i, c in enumerate(unique_columns)])
+            results.append((name, _named(one, [("unique", c, f"n{i}") for i, c in enumerate(unique_columns)])))
         if name in UNIQUE_COMBINATION:
             results.append((name, unique_combination(df, UNIQUE_COMBINATION[name])))
-        if name in ACCEPTED:
-            results.append((name, accepted_values(df, *ACCEPTED[name])))
-    for child, column, parent, field in RELATIONSHIPS:
-        if child in models and parent in models:
-            results.append((child, relationships(models[child], column, models[parent], field)))
+    for child, column, parent, field in relations:
+        references = values[child].filter(F.col("column") == column).select("value", "n")
+        there = values[parent].filter(F.col("column") == field).select("value")
+        orphans = references.join(there, "value", "left_anti").agg(F.sum("n").alias("n"))
+        results.append((child, _named(orphans, [("relationships", column, "n")])))
     rows = [df.select(F.lit(name).alias("model"), "check", "column", "failures") for name, df in results]
     return functools.reduce(DataFrame.unionByName, rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -48,15 +48,27 @@ def skill_gap(user_skills: DataFrame, top: DataFrame) -> DataFrame:
     )
 
 
-def coverage(gap: DataFrame) -> DataFrame:
-    """Per user and role: how many leading skills are there, and the share of demand they cover."""
-    weight = F.sum("job_count")
-    covered = F.sum(F.when(F.col("have"), F.col("job_count")).otherwise(F.lit(0)))
-    return gap.groupBy("user_id", "role", "role_total").agg(
-        F.count_if("have").alias("have"),
-        F.count_if(~F.col("have")).alias("missing"),
-        F.when(weight > 0, covered / weight).otherwise(F.lit(0.0)).alias("coverage"),
-    )
+def coverage(user_skills: DataFrame, top: DataFrame) -> DataFrame:
+    """Per user and role: how many leading skills are there, and the share of demand they cover.
+
+    The leaders of a role are one list of (name, job_count), a few entries; a user meets it as a whole,
+    and the sums are taken over the list. No row is made per user and skill.
+    """
+    lists = top.groupBy("role").agg(
+        F.max("role_total").alias("role_total"), F.collect_list(F.struct("name", "job_count")).alias("leaders"))
+    named = user_skills.select("user_id", "role", fold_name(F.col("skill")).alias("name"))
+    wanted = top.select("role", "name").distinct().withColumn("wanted", F.col("name"))
+    owned = named.join(wanted, ["role", "name"], "left").groupBy("user_id", "role").agg(F.collect_set("wanted").alias("owned"))
+
+    def total(entries: Column) -> Column:
+        return F.aggregate(entries, F.lit(0).cast("long"), lambda s, x: s + x["job_count"])
+
+    held = F.filter("leaders", lambda x: F.array_contains("owned", x["name"]))
+    weight = total(F.col("leaders"))
+    return owned.join(lists, "role").select(
+        "user_id", "role", "role_total", F.size(held).cast("long").alias("have"),
+        (F.size("leaders") - F.size(held)).cast("long").alias("missing"),
+        F.when(weight > 0, total(held) / weight).otherwise(F.lit(0.0)).alias("coverage"))
 
 
 def plan_list(gap: DataFrame, limit: int = GAP_PLAN_LIMIT) -> DataFrame:

@@ -106,9 +106,11 @@ def test_skill_gap(spark):
     gap = skill_gap.skill_gap(users, top)
     one = {r.skill: (r.have, r.share) for r in gap.filter("user_id = 1").collect()}
     assert one == {"Python": (True, 0.8), "SQL": (True, 0.6), "Spark": (False, 0.4), "Go": (False, 0.2)}
-    cover = {r.user_id: (r.have, r.missing, r.coverage) for r in skill_gap.coverage(gap).collect()}
+    cover = {r.user_id: (r.have, r.missing, r.coverage) for r in skill_gap.coverage(users, top).collect()}
     assert cover == {1: (2, 2, 0.7), 2: (0, 4, 0.0), 3: (1, 0, 1.0)}
     assert gap.filter("user_id = 3").first().share == 0.0  # a role without postings
+    text = skill_gap.coverage(users, top)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in text  # a user meets the leaders of a role as one list
     plan = sorted(skill_gap.plan_list(gap, 1).collect())
     assert [(r.user_id, r.skill, r.share) for r in plan] == [(1, "Spark", "40%"), (2, "Python", "80%")]
 
@@ -124,3 +126,28 @@ def test_quality(spark, tables):
     status = lambda days: quality.freshness(jobs, "last_seen_at", T0 + dt.timedelta(days=days)).first().status
     assert [status(d) for d in (3, 4, 14, 15)] == ["pass", "warn", "warn", "error"]
     assert quality.freshness(jobs.filter("false"), "last_seen_at", T0).first().status == "error"
+
+
+def test_an_entry_with_very_many_links(spark, tables):
+    jobs, links, _ = tables
+    one = jobs.filter("is_active").limit(1)
+    job_id = one.first().job_id
+    many = spark.range(150_000).select(F.lit(job_id).alias("job_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("skill"), F.lit("c").alias("category"))
+    tally = M.page_tallies(one, many).first().tally
+    assert [(t.skill, t.n) for t in tally] == [("s0", 50_000), ("s1", 50_000), ("s2", 50_000)]
+    shown = M.jobs_page(one, many).first().skills.split(", ")
+    assert len(shown) == 150_000 and shown == sorted(shown)
+
+
+def test_declared_checks_read_a_model_once(spark, tables):
+    """Row checks in one pass; values of all keys in one pass and one exchange."""
+    jobs = tables[0]
+    facts = jobs.select("job_id", "dedup_hash", F.md5("company").alias("company_key"), F.to_date("first_seen_at").alias("first_seen_date_key"))
+    companies = jobs.select(F.md5("company").alias("company_key"), "company").distinct().filter("company <> 'Acme'")
+    checked = quality.check_models({"fact_job_posting": facts.unionByName(facts.limit(1)), "dim_company": companies})
+    got = {(r.model, r.check, r["column"]): r.failures for r in checked.collect()}
+    orphans = facts.join(companies, "company_key", "left_anti").count()
+    assert got["fact_job_posting", "unique", "job_id"] == 1 and got["fact_job_posting", "not_null", "job_id"] == 0
+    assert got["fact_job_posting", "relationships", "company_key"] in (orphans, orphans + 1) and got["dim_company", "unique", "company"] == 0
+    values = quality.key_values(facts, ["job_id", "dedup_hash", "company_key"])
+    assert values._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
