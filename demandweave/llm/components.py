@@ -26,8 +26,8 @@ def connected(edges: DataFrame) -> DataFrame:
         small = hung.select("b", "m").unionByName(hung.select(F.col("a").alias("b"), "m"))
         after = settle(_ordered(small.select(F.col("b").alias("a"), F.col("m").alias("b"))))
         # Done when all hang on a root: no node has two edges, or is the end of one and has another.
-        ends = after.select("a", F.lit(1).alias("own")).unionByName(after.select(F.col("b").alias("a"), F.lit(0).alias("own")).distinct())
-        if ends.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("own")).filter("own > 0 and n > 1").isEmpty():
+        ends = after.select("a", F.lit(1).alias("own")).unionByName(after.select(F.col("b").alias("a"), F.lit(0).alias("own")))
+        if ends.groupBy("a").agg(F.sum("own").alias("own"), F.min("own").alias("least")).filter("own > 1 or (own = 1 and least = 0)").isEmpty():
             break
         current = after
     roots = after.select(F.col("b").alias("node")).distinct()

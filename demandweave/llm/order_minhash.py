@@ -9,12 +9,18 @@ shingles decides.
 Similarity: m shingles of one text aligned to equal ones of the other, in order and one to one,
 make m / (shingles of both - m); 0.8 with shingles of five words unless told otherwise.
 
-A bucket of n texts is not turned into pairs at once. Its members are compared with one of them,
-then blocks of members (heads) with all others that are still apart, until each member of a
-bucket with several parts has been a head. So texts that share a bucket are compared, unless
-other links have put them in one class already: the classes are those of all pairs that share a
-bucket. A bucket that falls into one part soon costs little; one whose n texts are all unlike
-costs n * (n - 1) / 2 comparisons.
+Few picked shingles make a sketch that texts share by chance of a common passage; so many are picked,
+and there are many sketches of which two texts must share ``COMMON``: a pair of similarity 0.8 has 12
+of 72 in common, one of 0.6 has one.
+
+A bucket of n texts is not turned into pairs. Its members are compared with one of them, which joins
+most copies. Of large buckets that stay in several parts (texts that share a long passage and little
+else), texts then go that have more than 1 - t of their shingles for themselves: they can't reach the
+similarity t with any other, however many share the rest. What is left goes on in blocks: some members
+of a bucket (heads) are compared with all others that are still apart, until each member of a bucket
+with several parts has been a head. A pair meets in the first of its common buckets only, and not if
+lengths and shared shingles rule it out. So the classes are those of all pairs that share ``COMMON``
+sketches.
 """
 
 from __future__ import annotations
@@ -28,12 +34,15 @@ from pyspark.sql import functions as F
 
 from demandweave.llm.arrays import WORD_BYTES, Chunk, Slices, chunks, mixed, words
 from demandweave.llm.components import connected
-from demandweave.llm.staging import settle
+from demandweave.llm.staging import free_names, settle
 
 SHINGLE = 5
-SKETCHES = 24
-PICKED = 3
+SKETCHES = 72
+PICKED = 8
+COMMON = 3  # sketches that a pair must share
 SIMILARITY = 0.8
+LARGE = 64  # of a bucket with more texts, in several parts, texts are looked at for shingles of their own
+BLOCK = 200_000  # shingles that are counted together
 HOT = 50_000  # memberships of a bucket that one task may hold
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -164,10 +173,10 @@ def _sketches(shingle: int, sketches: int, picked: int):
                 keep = np.diff(starts) > 0
                 sizes = np.where(keep, sketches, 0)
                 own = batch.slice(chunk.first, n)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                flat = values[keep].reshape(-1)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("c1"), own.column("c2"), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(
-                        pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
-                        pa.array(values[keep].reshape(-1).view(np.int64)))],
+                    [own.column("c1"), own.column("c2"), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64)))],
                     ["c1", "c2", "n_words", "sketches"])
 
     return task
@@ -189,16 +198,55 @@ def _sequences(shingle: int):
     return task
 
 
+def _label_blocks(blocks: int):
+    """Labelled shingles in ``blocks`` by hash: one row per batch and block with the shingles that stand in one
+    text of the batch, beside that text, and those that stand in several, each once without a text."""
+    kind = pa.list_(pa.int64())
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingles = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column("shingles")]
+            if not shingles:
+                continue
+            sizes = np.array([len(x) for x in shingles], np.int64)
+            labels = occurrence_labelled(np.concatenate(shingles).astype(np.uint64), np.concatenate([[0], np.cumsum(sizes)]))
+            label, first, times = np.unique(labels, return_index=True, return_counts=True)
+            text = np.where(times == 1, np.repeat(np.arange(len(sizes)), sizes)[first], -1) if len(label) else np.zeros(0, np.int64)
+            h1, h2 = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("c1", "c2")]
+            block = (label >> np.uint64(32)).astype(np.int64) % blocks
+            order = np.argsort(block, kind="stable")
+            cuts = np.searchsorted(block[order], np.arange(blocks + 1))
+            for k in range(blocks):
+                own = order[cuts[k] : cuts[k + 1]]
+                if len(own):
+                    one = text[own] >= 0
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k], pa.int64())] + [pa.array([v], kind) for v in (
+                            label[own[~one]].view(np.int64), label[own[one]].view(np.int64), h1[text[own[one]]], h2[text[own[one]]])],
+                        ["block", "several", "single", "h1", "h2"])
+
+    return task
+
+
+def _alone(table: pa.Table) -> pa.Table:
+    """How many of the shingles of a block stand in one text only, by text."""
+    several, single, h1, h2 = [
+        np.concatenate([np.asarray(x.values, np.int64) for x in table.column(c).combine_chunks()] or [np.zeros(0, np.int64)])
+        for c in ("several", "single", "h1", "h2")]
+    label, first, times = np.unique(np.concatenate([single, several]), return_index=True, return_counts=True)
+    own = first[(times == 1) & (first < len(single))]
+    nodes, n = np.unique(np.stack([h1[own], h2[own]], 1), axis=0, return_counts=True)
+    return pa.table({"h1": pa.array(nodes[:, 0]), "h2": pa.array(nodes[:, 1]), "alone": pa.array(n.astype(np.int64))})
+
+
 def _verify(at_least: float):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [
-                similarity(np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32), at_least)
+            links = pa.array([
+                similarity(np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32), at_least) > 0
                 for a, b in zip(batch.column("sa"), batch.column("sb"))
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("a1", "a2", "b1", "b2")), pa.array(values, pa.float64())],
-                ["a1", "a2", "b1", "b2", "similarity"])
+            ], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(links) for c in _PAIR], _PAIR)
 
     return task
 
@@ -223,22 +271,45 @@ def _apart(members: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.join(several.select("bucket"), "bucket")
 
 
-def _levelled(members: DataFrame) -> DataFrame:
+def _without_own_shingles(apart: DataFrame, sequences: DataFrame, at_least: float) -> DataFrame:
+    """``apart`` without texts in large buckets that can have no partner there. ``common``: the most
+    shingles that a text may share with another text of the bucket.
+
+    Shingles are counted over all texts in large buckets, so one that occurs once is in no other. They
+    are counted in blocks by hash; one that many texts hold enters its block once a batch.
+    """
+    large = settle(apart.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > LARGE).select("bucket"))
+    of_large = apart.join(large, "bucket")
+    nodes = settle(of_large.select("node", "size").distinct())
+    blocks = max(1, -(-(nodes.agg(F.sum("size")).first()[0] or 0) // BLOCK))
+    own = sequences.join(nodes.select(F.col("node.h1").alias("c1"), F.col("node.h2").alias("c2")), ["c1", "c2"])
+    labels = own.mapInArrow(_label_blocks(blocks), "block long, several array<long>, single array<long>, h1 array<long>, h2 array<long>")
+    alone = labels.groupBy("block").applyInArrow(_alone, "h1 long, h2 long, alone long")
+    alone = settle(alone.groupBy(F.struct("h1", "h2").alias("node")).agg(F.sum("alone").alias("alone")))
+    common = F.col("size") - F.coalesce("alone", F.lit(0))
+    kept = of_large.join(alone, "node", "left").withColumn("common", common).filter(F.col("common") >= F.col("size") * at_least - 1e-6)
+    return apart.join(large, "bucket", "left_anti").unionByName(kept.drop("alone"))
+
+
+def _levelled(members: DataFrame, own: DataFrame) -> DataFrame:
     """``members`` with the ``level`` in which a node is a head, in all its buckets at once.
 
-    Nodes with the most neighbours in their buckets come first. At most 8, 64, 512 ... nodes of a
-    bucket are heads up to level 0, 1, 2 ... (times its ``salts``, which split a hot bucket).
+    Nodes with the most neighbours in their buckets come first. At most 32, 1,024 ... nodes of a
+    bucket are heads up to level 0, 1 ... (times its ``salts``, which split a hot bucket).
+    ``own``: (node, own), the sketches of each node in order; they are added.
     """
-    salted = members.withColumn("score", F.sum("n").over(Window.partitionBy("node"))).withColumn(
+    counted = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+    salted = counted.withColumn("score", F.sum("n").over(Window.partitionBy("node"))).withColumn(
         "salts", F.ceil(F.col("n") / HOT)).withColumn("salt", F.pmod(F.xxhash64("node"), "salts"))
     place = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy(F.desc("score"), "node"))
-    level = ((F.length(F.bin(place)) - 1) / 3).cast("int")
-    return salted.withColumn("level", level).withColumn("level", F.max("level").over(Window.partitionBy("node"))).drop("n", "score")
+    level = ((F.length(F.bin(place)) - 1) / 5).cast("int")
+    levelled = salted.withColumn("level", level).withColumn("level", F.max("level").over(Window.partitionBy("node"))).drop("n", "score")
+    return levelled.join(own, "node")
 
 
 def text_classes(
     docs: DataFrame, shingle: int = SHINGLE, at_least: float = SIMILARITY, sketches: int = SKETCHES,
-    picked: int = PICKED, doc_id: str = "doc_id", text: str = "text",
+    picked: int = PICKED, common: int = COMMON, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """One row per different text: c1, c2 (``content_key``), n_words and what ``near_duplicates`` says
     of its class: class_size, class_id, first (d, c1, c2: the row that stays)."""
@@ -265,33 +336,36 @@ def text_classes(
         # The shorter text has at_least of the shingles of the longer one, or the pair is none.
         near = F.least(F.length("sa"), F.length("sb")) >= F.greatest(F.length("sa"), F.length("sb")) * at_least
         rows = candidates.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).filter(near)
-        return rows.mapInArrow(_verify(at_least), "a1 long, a2 long, b1 long, b2 long, similarity double").filter("similarity > 0")
+        return rows.mapInArrow(_verify(at_least), "a1 long, a2 long, b1 long, b2 long")
 
-    links = settle(verified(pairs).select(*_PAIR))
+    links = settle(verified(pairs))
     parts = connected(links.select(_node("a").alias("a"), _node("b").alias("b")))
+    size = F.col("n_words") - (shingle - 1)
     placed = members.select(
-        "bucket", "n", (F.col("n_words") - (shingle - 1)).alias("size"), _node("c").alias("node"),
+        "bucket", size.alias("size"), _node("c").alias("node"), size.alias("common"),
         F.struct(F.col("r.c1").alias("h1"), F.col("r.c2").alias("h2")).alias("r"))
-    apart, level = settle(_levelled(_apart(placed, parts))), 0
+    apart = settle(_without_own_shingles(settle(_apart(placed, parts)), sequences, at_least))
+    own = sketched.select(_node("c").alias("node"), F.col("sketches").alias("own"))
+    apart, level = settle(_levelled(_apart(apart, parts), own)), 0
     while (last := apart.agg(F.max("level")).first()[0]) is not None:
         heads = apart.filter(F.col("level") == level).select(
             "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
-            F.col("node").alias("a"), F.col("part").alias("p"), F.col("size").alias("n"))
+            F.col("node").alias("a"), F.col("part").alias("p"), F.col("size").alias("n"), F.col("common").alias("m"), F.col("own").alias("o"))
         # A pair meets when the first of both is a head; those with r have been compared.
+        most, shared = F.least("common", "m"), F.array_intersect("own", "o")
         more = heads.join(apart.filter(F.col("level") >= level), ["bucket", "salt"]).filter(
             (F.col("part") != F.col("p")) & (F.col("node") != F.col("r")) & (F.col("a") != F.col("r"))
-            & (F.least("size", "n") >= F.greatest("size", "n") * at_least))
+            & (F.least("size", "n") >= F.greatest("size", "n") * at_least)
+            & (most >= (F.col("size") + F.col("n") - most) * at_least - 1e-6)
+            & (F.size(shared) >= common) & (F.get(shared, F.lit(0)) == F.col("bucket")))
         more = settle(_pairs(more.select(
             F.col("a.h1").alias("a1"), F.col("a.h2").alias("a2"), F.col("node.h1").alias("b1"), F.col("node.h2").alias("b2"))))
-        found = settle(verified(more).select(*_PAIR))
-        apart = apart.filter(F.col("level") > level)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            parts = connected(links.select(_node("a").alias("a"), _node("b").alias("b")))
-            apart = settle(_apart(apart, parts))
+        found = settle(verified(more))
+        links = links.unionByName(found)
+        parts = connected(links.select(_node("a").alias("a"), _node("b").alias("b")))
         if level == last:
             break
-        level += 1
+        apart, level = settle(_apart(apart.filter(F.col("level") > level), parts)), level + 1
 
     node = F.struct(F.col("c1").alias("h1"), F.col("c2").alias("h2"))
     ids = keyed.select("doc_id", "c1", "c2")
@@ -305,7 +379,7 @@ def text_classes(
 
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, at_least: float = SIMILARITY, sketches: int = SKETCHES,
-    picked: int = PICKED, doc_id: str = "doc_id", text: str = "text",
+    picked: int = PICKED, common: int = COMMON, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """Class of each document: one row per row of ``docs`` with doc_id, class_id, class_size, n_words, kept.
 
@@ -318,9 +392,10 @@ def near_duplicates(
       exact copies only.
     * NULL doc_ids are last in order; a class of NULL doc_ids only has the class_id NULL.
     * Words are compared without regard to the case of A-Z. Other columns are ignored.
-    * A pair of similarity 0.8 shares no sketch with a chance of about (1 - 0.8 ** 3) ** 24, 3e-8.
+    * A pair of similarity 0.8 shares fewer than 3 of 72 sketches, and is then not compared, with a chance of
+      about 2e-4; at 0.85 that is below 1e-6.
     """
-    classes = text_classes(docs, shingle, at_least, sketches, picked, doc_id, text)
+    classes = text_classes(docs, shingle, at_least, sketches, picked, common, doc_id, text)
     c1, c2 = content_key(F.col(text))
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), c1.alias("c1"), c2.alias("c2"))
     kept = F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("c1") == F.col("first.c1")) & (F.col("c2") == F.col("first.c2"))
@@ -328,14 +403,17 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, each once; ``options`` are its parameters."""
+    """The rows of ``docs`` that ``near_duplicates`` keeps, each once; ``options`` are its parameters.
+
+    Of rows with equal doc_id and text any one stays: they may differ in other columns only.
+    """
     classes = text_classes(docs, doc_id=doc_id, text=text, **options)
     no_id = F.lit(-(1 << 63))
+    key = free_names(docs.columns, "c1", "c2", "d")
     first = classes.select("first.*").distinct().select(
-        F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), F.coalesce("d", no_id).alias("_d"))
-    c1, c2 = content_key(F.col(text))
-    keyed = docs.select("*", c1.alias("_c1"), c2.alias("_c2"), F.coalesce(F.col(doc_id).cast("long"), no_id).alias("_d"))
-    key = ["_c1", "_c2", "_d"]
+        F.col("c1").alias(key[0]), F.col("c2").alias(key[1]), F.coalesce("d", no_id).alias(key[2]))
+    own = [*content_key(F.col(text)), F.coalesce(F.col(doc_id).cast("long"), no_id)]
+    keyed = docs.select("*", *[c.alias(k) for c, k in zip(own, key)])
     return keyed.join(first, key).dropDuplicates(key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

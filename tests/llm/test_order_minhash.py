@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pytest
@@ -149,6 +150,46 @@ def test_components(spark, rnd):
     assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_no_sketch_is_shared_by_chance():
+def missed(similarity):
+    """The chance that a pair shares fewer than COMMON sketches."""
+    p, n = similarity**order_minhash.PICKED, order_minhash.SKETCHES
+    return sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(order_minhash.COMMON))
+
+
+def test_chance_of_a_lost_pair():
     assert order_minhash.SHINGLE == 5 and order_minhash.SIMILARITY == 0.8
-    assert (1 - order_minhash.SIMILARITY**order_minhash.PICKED) ** order_minhash.SKETCHES < 1e-6
+    assert missed(0.8) < 3e-4 and missed(0.85) < 1e-6
+
+
+def test_recall_in_large_groups(rnd, prose, spark, monkeypatch):
+    """Links between unlike members of large groups: copies of copies, and texts around a long common passage."""
+    monkeypatch.setattr(order_minhash, "LARGE", 16)
+    rows, base = [], prose(160)
+    for _ in range(120):  # a chain: each is an edit of an earlier one
+        rows.append((len(rows), edited(rnd, rows[rnd.randrange(len(rows))][1] if rows and rnd.random() < 0.7 else base, rnd.randint(1, 5))))
+    passage = prose(100)
+    for _ in range(60):
+        rest = prose(rnd.choice([10, 25, 50]))
+        rows += [(len(rows) + k, f"{rest} {passage} {prose(3)}") for k in range(rnd.choice([1, 1, 2]))]
+    want = brute_classes(rows)
+    got = sorted((r.doc_id, r.class_id, r.class_size) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect())
+    of = {d: c for d, c, _ in want}
+    pairs = [(a, b) for a, b in combinations(sorted(of), 2) if of[a] == of[b]]
+    found = {d: c for d, c, _ in got}
+    recall = sum(found[a] == found[b] for a, b in pairs) / len(pairs)
+    print(f"recall {recall:.4f} of {len(pairs)} pairs in {len(set(of.values()))} classes")
+    assert recall >= 0.9 and all(of[a] == of[b] for a, b in combinations(sorted(found), 2) if found[a] == found[b])
+    assert got == want
+
+
+def test_texts_around_a_passage_are_not_compared(spark, rnd, prose, monkeypatch):
+    """However many share it: their own shingles take them out before any pair is made."""
+    monkeypatch.setattr(order_minhash, "LARGE", 8)
+    compared = []
+    monkeypatch.setattr(order_minhash, "_pairs", lambda rows, make=order_minhash._pairs: compared.append(make(rows)) or compared[-1])
+    passage = prose(140)
+    rows = [(i, f"{passage} {prose(60)}") for i in range(150)]
+    assert all(r.class_size == 1 for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    after = sum(df.count() for df in compared[1:])
+    print("pairs after the first member of each bucket:", after)
+    assert after < 0.05 * 150 * 149 / 2  # what small buckets leave
