@@ -16,7 +16,7 @@ from demandweave.functions import dates, json, text
 from demandweave.operators import matcher, reconcile, roles
 from demandweave.plans import gold, quality, read_model, run, skill_gap
 from demandweave.plans.read_model import has_part
-from demandweave.session import shared_folder, spread, use_utc
+from demandweave.session import prepare, shared_folder, spread
 from demandweave.sources import catalogs, payloads
 from demandweave.sources.warehouse import SERVING, Warehouse
 
@@ -45,7 +45,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     def bind(build: Callable[[StandIns], DataFrame]) -> Query:
-        return lambda spark, folder: plain(build(StandIns(use_utc(spark), folder)))
+        return lambda spark, folder: plain(build(StandIns(prepare(spark), folder)))
 
     return {name: bind(build) for name, build in _QUERIES.items()}
 

@@ -12,8 +12,6 @@ SOURCES = ["greenhouse", "lever", "ashby", "arbeitnow"]
 # The token under which postings of the aggregator feed are kept.
 AGGREGATOR_TOKEN = "arbeitnow"
 
-# Pages read of one paged feed.
-
 # Role families and the title substrings which select them.
 ROLE_PATTERNS = [
     ("Backend Engineer", "backend engineer"),

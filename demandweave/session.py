@@ -26,6 +26,11 @@ def keep_last_key(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """The settings that results depend on, once per session."""
+    return keep_last_key(use_utc(spark))
+
+
 def local_session(cpus: int | str = "*", app: str = "demandweave") -> SparkSession:
     """A session for tests and benchmarks on one machine. Clusters bring their own."""
     n = 8 if cpus == "*" else int(cpus)
@@ -34,6 +39,7 @@ def local_session(cpus: int | str = "*", app: str = "demandweave") -> SparkSessi
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
