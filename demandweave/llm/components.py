@@ -35,6 +35,17 @@ def connected(edges: DataFrame) -> DataFrame:
         roots.select("node", F.col("node").alias("part")))
 
 
+def joined(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``parts`` (as from ``connected``) with more ``edges``: only the parts that these link are looked at anew."""
+    of = parts.select("node", "part")
+    ends = edges.select("a", "b").join(of.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a", "left").join(
+        of.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b", "left")
+    linked = connected(ends.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")))
+    moved = linked.select(F.col("node").alias("part"), F.col("part").alias("now"))
+    kept = of.join(moved, "part", "left").select("node", F.coalesce("now", "part").alias("part"))
+    return settle(kept.unionByName(linked.join(of.select("node"), "node", "left_anti").select("node", "part")))
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     """Each edge between two nodes once, with the smaller one as b."""
     return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

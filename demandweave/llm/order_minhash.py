@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandweave.llm.arrays import WORD_BYTES, Chunk, Slices, chunks, mixed, words
-from demandweave.llm.components import connected
+from demandweave.llm.components import connected, joined
 from demandweave.llm.staging import free_names, settle
 
 SHINGLE = 5
@@ -361,8 +361,7 @@ def text_classes(
         more = settle(_pairs(more.select(
             F.col("a.h1").alias("a1"), F.col("a.h2").alias("a2"), F.col("node.h1").alias("b1"), F.col("node.h2").alias("b2"))))
         found = settle(verified(more))
-        links = links.unionByName(found)
-        parts = connected(links.select(_node("a").alias("a"), _node("b").alias("b")))
+        parts = joined(parts, found.select(_node("a").alias("a"), _node("b").alias("b")))
         if level == last:
             break
         apart, level = settle(_apart(apart.filter(F.col("level") > level), parts)), level + 1

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from demandweave.llm import order_minhash
-from demandweave.llm.components import connected
+from demandweave.llm.components import connected, joined
 from demandweave.llm.order_minhash import keep_one, near_duplicates, similarity
 
 SCHEMA = "doc_id long, text string"
@@ -148,6 +148,9 @@ def test_components(spark, rnd):
     got = {r.node: r.part for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}, **{i: 200 for i in (200, 201, 202)}}
     assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
+    for cut in (0, 40, len(edges)):  # in two steps
+        first, rest = [spark.createDataFrame(e, "a long, b long") for e in (edges[:cut], edges[cut:])]
+        assert {r.node: r.part for r in joined(connected(first), rest).collect()} == got
 
 
 def missed(similarity):
