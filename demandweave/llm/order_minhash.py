@@ -351,10 +351,11 @@ def text_classes(
         heads = apart.filter(F.col("level") == level).select(
             "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
             F.col("node").alias("a"), F.col("part").alias("p"), F.col("size").alias("n"), F.col("common").alias("m"), F.col("own").alias("o"))
-        # A pair meets when the first of both is a head; those with r have been compared.
+        # A pair meets when the first of both is a head, of two heads of one level once; those with r have been compared.
         most, shared = F.least("common", "m"), F.array_intersect("own", "o")
         more = heads.join(apart.filter(F.col("level") >= level), ["bucket", "salt"]).filter(
-            (F.col("part") != F.col("p")) & (F.col("node") != F.col("r")) & (F.col("a") != F.col("r"))
+            (F.col("part") != F.col("p")) & ((F.col("level") > level) | (F.col("a") < F.col("node")))
+            & (F.col("node") != F.col("r")) & (F.col("a") != F.col("r"))
             & (F.least("size", "n") >= F.greatest("size", "n") * at_least)
             & (most >= (F.col("size") + F.col("n") - most) * at_least - 1e-6)
             & (F.size(shared) >= common) & (F.get(shared, F.lit(0)) == F.col("bucket")))
