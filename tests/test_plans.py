@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from demandweave.checks.standins import DAY, PART_ROLES, StandIns
 from demandweave.operators import reconcile
 from demandweave.operators.matcher import replace_links
-from demandweave.plans import gold, read_model
+from demandweave.plans import gold, read_model, run
 from demandweave.plans.read_model import has_part
 from demandweave.session import scratch
 from demandweave.sources.warehouse import Warehouse
@@ -109,3 +109,18 @@ def test_owner_windows_are_cut_by_chunk(stored):
 def test_job_list_joins_links_by_key_only(stored):
     text = plan(read_model.jobs_page(stored.read("jobs"), stored.read("job_skills"), has_part("title", "ring")))
     assert "NestedLoop" not in text and "Cartesian" not in text and "TakeOrderedAndProject" in text
+
+
+def test_postings_are_hashed_once(stored):
+    """No title is hashed or exchanged for the plan of a run; stored postings keep their hash in every step."""
+    fetched = StandIns(stored.spark, "/root/testdata/sf0.001").fetched
+    boards = fetched.select("source", "board_token").distinct()
+    with_texts = [line for line in plan(reconcile.plan_actions(stored.read("jobs"), fetched, boards)).splitlines() if "Exchange" in line and "title" in line]
+    assert with_texts == []
+    with scratch(stored.spark) as keep:
+        postings = keep(reconcile.with_hash(fetched), "postings", reconcile.KEY, stored.slots)
+        planned = reconcile.plan_actions(stored.read("jobs"), postings, boards)
+        actions = keep(planned, "actions", reconcile.KEY, stored.slots)
+        applied = reconcile.apply_actions(stored.read("jobs"), postings, actions, DAY)
+        assert "upper(sha2" not in plan(planned) + plan(applied) and "title" not in plan(planned)
+    assert "regexp_replace" not in plan(run.blank_keys(fetched)).split("Filter")[-1]
