@@ -251,7 +251,7 @@ def run_audit(s: StandIns) -> DataFrame:
         F.lit("r").alias("run_id"), "source", "board_token", (F.col("source") != "ashby").alias("ok"),
         F.when(F.col("source") == "ashby", F.concat(F.lit("ashby/"), "board_token", F.lit(": timeout"))).alias("error"),
     )
-    fetched = s.stored(s.fetched)
+    fetched = s.stored(reconcile.with_hash(s.fetched))  # as a run stores its postings
     actions = reconcile.reconcile(s.stored(s.existing), fetched, boards.filter("ok"), AS_OF, 1_000)
     return run.audit_row(boards, fetched, s.stored(actions), "r", "manual", AS_OF, AS_OF)
 
