@@ -76,6 +76,18 @@ def test_large_role_table(spark):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_a_title_meets_only_patterns_it_contains(spark):
+    """However many patterns begin alike: the join yields the hits, not all patterns with the first characters."""
+    seed = spark.range(3_000).selectExpr("'r' || id % 7 as role", "'abc' || id as pattern").union(spark.createDataFrame([("z", "é😀x"), ("z", "abc")], "role string, pattern string"))
+    titles = spark.createDataFrame([("a", "xabc2999"), ("b", "abcd"), ("c", "éé😀xabc17 abc17"), ("c", "abc8"), ("d", "ab")], "job_id string, title_lower string")
+    df = posting_roles(titles, seed)
+    rows = [tuple(r) for r in df.collect()]
+    want = {(t.job_id, s.role) for t in titles.collect() for s in seed.collect() if s.pattern in t.title_lower}
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "Contains(" not in text and "contains(" not in text
+
+
 def test_dimensions(spark, silver):
     j, links = silver
     companies = {r.company: (r.active_postings, r.source_count) for r in gold.dim_company(j).collect()}
