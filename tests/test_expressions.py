@@ -38,6 +38,13 @@ def test_strip_html_random(spark):
     assert column(spark, values, text.strip_html) == [plain_text(v) for v in values]
 
 
+def test_odd_spaces_are_those_that_change(spark):
+    rng = random.Random(4)
+    values = ["".join(rng.choices(" \n\t\x0b\x1c\x85\u00a0\u3000a<é ", k=rng.randint(0, 9))) for _ in range(3000)]
+    every = column(spark, values, lambda c: F.regexp_replace(c, text.SPACES, " "))
+    assert column(spark, values, lambda c: F.regexp_replace(c, text.ODD_SPACES, " ")) == every
+
+
 def test_keys_and_hashes(spark):
     values = [None, "", " Ácme,  Inc.! ", "C++/C#", "ÉÉ", "a b"]
 

@@ -44,6 +44,14 @@ def test_demand_counts_one_posting_per_hash(spark, silver):
     assert {r.snapshot_date for r in rows} == {DAY} and rows[0].job_count.__class__ is int
 
 
+def test_titles_are_not_shuffled_for_a_list_of_patterns(spark, silver, capsys):
+    """Each posting has its roles before one of each hash is chosen."""
+    gold.skill_demand(*silver, ROLE_PATTERNS, DAY).explain("formatted")
+    plan = capsys.readouterr().out
+    exchanges = [block for block in plan.split("\n\n") if "Exchange" in block.splitlines()[0]]
+    assert exchanges and not any("title" in block for block in exchanges)
+
+
 def test_demand_equals_the_star_schema(spark, silver):
     j, links = silver
     facts = gold.fact_job_posting(j)

@@ -101,6 +101,20 @@ def test_random_texts_against_a_plain_scan(spark):
     assert wrong == []
 
 
+def test_terms_with_and_without_a_character_in_front(spark):
+    """Terms that all end in a letter are searched with a line feed in front of the text; both ways find the same."""
+    rng = random.Random(8)
+    words = ["k", "is", "s+", "k s", "\u017fa", "i.k"]
+    terms = [Term(w, i, w, "x") for i, w in enumerate(words)]
+    assert SkillMatcher(terms, []).led and not SkillMatcher([*terms, Term("k.", 9, "k.", "x")], []).led
+    assert not SkillMatcher(terms, [("k", "^", None)]).led
+    texts = ["".join(rng.choices(["k", "K", "i", "s", "S", " ", ".", "+", "\n", "a", "\u212a", "\u017f", "\u0130", "\u0131"], k=rng.randint(0, 14))) for _ in range(3000)]
+    # A guard which never applies takes the other way.
+    assert names(spark, texts, terms, guards=[]) == names(spark, texts, terms, guards=[("k", "never ", None)])
+    plain = [t for t in texts if t.isascii()]
+    assert names(spark, plain, terms, guards=[]) == [scan(t, terms, {}) for t in plain]
+
+
 def test_first_definition_of_a_term_wins(spark):
     dictionary = spark.createDataFrame(
         [(1, "Kubernetes", "DevOps", ["k8s", " "]), (2, "K8S", "Cloud", None), (3, "Go", "Language", ["golang"])],
